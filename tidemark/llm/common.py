@@ -105,6 +105,7 @@ class Rolling:
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of each ``items[start:stop]``; equal sequences get equal hashes wherever they stand."""
+        self._grow(len(prefix))
         return mixed((prefix[stop] - prefix[start]) * self.inverses[start] + (stop - start).astype(np.uint64))
 
     def windows(self, items: np.ndarray, width: int) -> np.ndarray:
