@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,20 @@ def components(edges: DataFrame) -> DataFrame:
         now = durable(_small_star(_large_star(now)))
     tree = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return tree.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For a block product's boolean links, the smallest linked label of each row and column node.
+
+    Nodes are numbered rows first, then columns; labels go to and fro until they rest.
+    """
+    m, n = linked.shape
+    rows, cols = np.arange(m), np.arange(m, m + n)
+    big = m + n
+    for _ in range(m + n):
+        new_cols = np.minimum(cols, np.where(linked, rows[:, None], big).min(axis=0, initial=big))
+        new_rows = np.minimum(rows, np.where(linked, new_cols[None, :], big).min(axis=1, initial=big))
+        if (new_rows == rows).all() and (new_cols == cols).all():
+            break
+        rows, cols = new_rows, new_cols
+    return np.concatenate([rows, cols])

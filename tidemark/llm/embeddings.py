@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, stored
-from .components import components
+from .components import components, forest
 
 THRESHOLD, SAMPLE, SEED = 0.9, 16_384, 7
 #: Vectors of a block, at most; tables that are small get at least 16 blocks.
@@ -57,34 +57,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """For a block product's boolean links, the smallest linked label of each row and column node.
-
-    Nodes are numbered rows first, then columns; labels go to and fro until they rest.
-    """
-    m, n = linked.shape
-    rows, cols = np.arange(m), np.arange(m, m + n)
-    big = m + n
-    for _ in range(m + n):
-        new_cols = np.minimum(cols, np.where(linked, rows[:, None], big).min(axis=0, initial=big))
-        new_rows = np.minimum(rows, np.where(linked, new_cols[None, :], big).min(axis=1, initial=big))
-        if (new_rows == rows).all() and (new_cols == cols).all():
-            break
-        rows, cols = new_rows, new_cols
-    return np.concatenate([rows, cols])
-
-
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Links of one pair of blocks: rows (node, n_links, root)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf.side != 1].sort_values("node")
         right = pdf[pdf.side != 0].sort_values("node")
         same = len(pdf) and pdf.side.iloc[0] == 2
-        x = np.stack([np.frombuffer(v, np.float64) for v in left.vector]) if len(left) else np.zeros((0, 1))
-        y = np.stack([np.frombuffer(v, np.float64) for v in right.vector]) if len(right) else np.zeros((0, 1))
-        if not len(x) or not len(y):
+        if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "n_links": [], "root": []}).astype("int64")
+        x, y = (_unit([np.frombuffer(v, kind) for v in part.vector]) for part in (left, right))
         a, b = left.node.to_numpy(), right.node.to_numpy()
         wa, wb = left.weight.to_numpy(), right.weight.to_numpy()
         counts_a, counts_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -103,7 +85,7 @@ def _compare(threshold: float):
             some_a, some_b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
             if len(some_a):
                 ids = np.concatenate([a[at + some_a], b[some_b]])
-                roots.append(np.stack([ids, ids[_forest(linked[np.ix_(some_a, some_b)])]]))
+                roots.append(np.stack([ids, ids[forest(linked[np.ix_(some_a, some_b)])]]))
         out = [np.stack([a, counts_a, a])[:, counts_a > 0], np.stack([b, counts_b, b])[:, counts_b > 0]]
         if roots:
             edges = np.unique(np.concatenate(roots, axis=1), axis=1)
@@ -115,7 +97,7 @@ def _compare(threshold: float):
     return run
 
 
-def _compared(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
+def _compared(vectors: DataFrame, n: int, threshold: float, kind: str) -> DataFrame:
     """node, n_links, root over distinct vectors of one length (node, weight, embedding)."""
     size = int(min(BLOCK, max(256, -(-n // 16))))
     k = int(min(MAX_CELLS, max(1, n // (2 * size))))
@@ -128,10 +110,11 @@ def _compared(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _unit(_matrix(b.column(2)))
+                raw = _matrix(b.column(2))
+                x = _unit(raw)
                 to = x @ centres.T
                 cell = to.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(to[np.arange(len(x)), cell])], names=["node", "weight", "vector", "cell", "near"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(to[np.arange(len(x)), cell])], names=["node", "weight", "vector", "cell", "near"])
 
     assigned = stored(vectors.select("node", "weight", "embedding").mapInArrow(assign, "node long, weight long, vector binary, cell int, near double"))
     # One row for each cell, of which there are MAX_CELLS at most.
@@ -146,9 +129,9 @@ def _compared(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
         for b in batches:
             rows, lefts, rights, sides = [], [], [], []
             nodes, cell = b.column(0).to_pylist(), b.column(3).to_numpy()
+            near = _unit([np.frombuffer(v, kind) for v in b.column(2).to_pylist()]) @ centres.T if nodes else None
             for i, (node, c) in enumerate(zip(nodes, cell)):
-                x = np.frombuffer(b.column(2)[i].as_py(), np.float64)
-                to = centres @ x
+                to = near[i]
                 apart = gap[c] if gap is not None else np.linalg.norm(centres - centres[c], axis=1)
                 meets = (to[c] - to <= np.sin(reach) * apart + 1e-9) & (np.arccos(np.clip(to, -1, 1)) <= reach + radius)
                 meets[c] = True
@@ -166,7 +149,7 @@ def _compared(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
                 )
 
     dealt = assigned.mapInArrow(deal, "left long, right long, side int, node long, weight long, vector binary")
-    return dealt.groupBy("left", "right").applyInPandas(_compare(threshold), "node long, n_links long, root long")
+    return dealt.groupBy("left", "right").applyInPandas(_compare(threshold, kind), "node long, n_links long, root long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -179,9 +162,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("digest", F.when(F.col("good"), F.sha2(F.array_join(F.transform("embedding", lambda v: v.cast("string")), ","), 256)))
     keyed = rows.select("vec_id", "digest")
     distinct = stored(rows.filter("good").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")))
+    # Single-precision input travels as such; all arithmetic is in double precision.
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     parts = None
     for r in distinct.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect():
-        one = _compared(distinct.filter(F.size("embedding") == r.d), r.n, threshold)
+        one = _compared(distinct.filter(F.size("embedding") == r.d), r.n, threshold, kind)
         parts = one if parts is None else parts.union(one)
     if parts is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

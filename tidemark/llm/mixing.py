@@ -56,8 +56,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha
     return wanted.join(F.broadcast(totals)).select("source", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The columns of ``docs`` by position, then copy (from 1), n_copies and shuffle_key; globally shuffled."""
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, seed: int) -> DataFrame:
     tables = rates(docs, weights, alpha).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_cdf"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"))
     rows = rows.join(tables, F.col("_of").eqNullSafe(F.col("_source")))
@@ -65,7 +64,17 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     rows = rows.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")).filter("n_copies > 0")
     rows = rows.select("_row", "_id", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    return rows.withColumn("shuffle_key", key).orderBy("shuffle_key", "_id", "copy").select("_row.*", "copy", "n_copies", "shuffle_key")
+    return rows.withColumn("shuffle_key", key).orderBy("shuffle_key", "_id", "copy")
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """The columns of ``docs``, then copy (from 1), n_copies and shuffle_key; globally shuffled."""
+    return _mixed(docs, weights, alpha, seed).select("_row.*", "copy", "n_copies", "shuffle_key")
+
+
+def mixed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """As ``mix``, with the columns of ``docs`` alone."""
+    return _mixed(docs, weights, alpha, seed).select("_row.*")
 
 
 #: The same draws over ``documents`` in DuckDB.

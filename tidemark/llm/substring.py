@@ -136,27 +136,55 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIM
     ).drop("path")
 
 
+def _cut(text: bytes | None, spans: list[dict] | None) -> tuple[int, int, bytes]:
+    """Words of a text, words removed, and the others joined by one space."""
+    words = (text or b"").split()
+    if not spans:
+        return len(words), 0, b" ".join(words)
+    step = np.zeros(len(words) + 1, np.int64)
+    for x in spans:
+        step[x["at"]] += 1
+        step[x["at"] + x["n_words"]] -= 1
+    stay = np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()
+    return len(words), len(words) - len(stay), b" ".join([words[i] for i in stay])
+
+
+def _spans_by_document(docs: DataFrame, window: int, minimizer: int) -> DataFrame:
+    return repeated_spans(docs, window, minimizer).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n_words")).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
     """doc_id, n_words, n_removed and text (kept words joined by one space), one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, removed, kept = [], [], []
-            for text, spans in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                words, gone = (text or b"").split(), 0
-                if spans:
-                    step = np.zeros(len(words) + 1, np.int64)
-                    for x in spans:
-                        step[x["at"]] += 1
-                        step[x["at"] + x["n_words"]] -= 1
-                    stay = np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()
-                    gone, left = len(words) - len(stay), [words[i] for i in stay]
-                else:
-                    left = words
-                counts.append(len(words))
-                removed.append(gone)
-                kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
-
-    per_doc = repeated_spans(docs, window, minimizer).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n_words")).alias("spans"))
-    return _keyed(docs).join(per_doc, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+            rows = [_cut(t, x) for t, x in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())],
+                names=["doc_id", "n_words", "n_removed", "text"],
+            )
+
+    rows = _keyed(docs).join(_spans_by_document(docs, window, minimizer), ["doc_id", "text_key"], "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
+    """``docs`` with repeated passages cut from its texts, columns as they came.
+
+    Texts that lose nothing stay as they are, white space included. ``n_chars``,
+    where there is one, is counted anew. Rows that lose every word go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_cut(t, x)[2] for t, x in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()).cast(pa.string())], names=["row", "cut"])
+
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")).alias("key")
+    spans = _spans_by_document(docs, window, minimizer)
+    whole = docs.select(F.struct("*").alias("row"), key).select("row", "key.doc_id", "key.text_key")
+    rows = whole.join(spans, ["doc_id", "text_key"], "left").select("row", F.col("row.text").cast("string").alias("text"), "spans")
+    kind = rows.select("row").schema
+    changed = rows.filter("spans is not null").mapInArrow(run, kind.add("cut", "string")).filter("cut <> ''")
+    fresh = {"text": F.col("cut").alias("text"), "n_chars": F.length("cut").cast(dict(docs.dtypes).get("n_chars", "long")).alias("n_chars")}
+    return rows.filter("spans is null").select("row.*").unionByName(changed.select(*[fresh.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns]))
