@@ -1,8 +1,62 @@
-"""Corpus pipeline: quality rules, near-dedup, substring dedup, source mixing, packing."""
+"""Corpus pipeline: quality rules, near-dedup, passage dedup, source mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), is written as Parquet by its caller and
+read again as the docs of the next. All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import minhash, mixing, packing, quality, substring
+from tidemark.llm.common import shared_dir, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the default policy keeps."""
+    return quality.filtered(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the smallest doc_id."""
+    return minhash.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word passages that a smaller doc_id has."""
+    return substring.without_repeats(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by their sources' target weights, shuffled."""
+    return mixing.mixed_rows(docs)
+
+
+def tier_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences with their token ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("source mixing", source_mixing),
+    ("packing", tier_packing),
+]
+#: Byte-pair encoding has no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -133,3 +133,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose document is kept, columns as they came; of rows alike in doc_id and text one stays."""
+    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_key"))
+    known = rows.filter("_id is not null").join(kept, F.col("_id") == F.col("_kept"), "left_semi")
+    return known.union(rows.filter("_id is null")).dropDuplicates(["_id", "_key"]).select("row.*")
