@@ -208,21 +208,21 @@ UNION ALL SELECT function_id, 7, CASE WHEN exported = 'added' THEN 'export_added
 UNION ALL SELECT function_id, 8, CASE WHEN direct_importers >= 5 THEN 'containing_module_direct_importers' END, 'containing module is imported directly by ' || direct_importers || ' modules', direct_importers FROM sl
 UNION ALL SELECT function_id, 9, CASE WHEN classification = 'source' THEN 'production_source' END, 'production source file', NULL FROM sl
 UNION ALL SELECT function_id, 10, CASE WHEN confidence < 1 THEN 'match_confidence' END, 'matched with ' || CASE WHEN confidence < 0.7 THEN '0.6' ELSE '0.9' END || ' confidence; verify it is the same function', NULL FROM sl),
-f AS (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY o) - 1 AS at FROM r WHERE code IS NOT NULL)
-SELECT function_id, CAST(at AS INT) AS at, code, message, CAST(v AS BIGINT) AS value FROM f""",
+f AS (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY o) - 1 AS ord FROM r WHERE code IS NOT NULL)
+SELECT function_id, CAST(ord AS INT) AS ord, code, message, CAST(v AS BIGINT) AS value FROM f""",
         "scores",
     )
 )
 def risk_reasons(spark, sf_dir):
     rows = inputs.scored_functions(spark, sf_dir)
-    return rows.select("function_id", F.posexplode("review_priority.reasons").alias("at", "r")).select("function_id", "at", "r.code", "r.message", "r.value")
+    return rows.select("function_id", F.posexplode("review_priority.reasons").alias("ord", "r")).select("function_id", "ord", "r.code", "r.message", "r.value")
 
 
 @query(
     sql(
-        """WITH f AS (SELECT file, path, risk_score, priority_score, coalesce(t_pos, b_pos) * 2 + (t_pos IS NULL)::INT AS at, status FROM sl),
-r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY risk_score DESC, at) AS k FROM f WHERE status <> 'unchanged'), p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY priority_score DESC, at) AS k FROM f WHERE status <> 'unchanged')
-SELECT x.path, coalesce(r.risk_score, 0) AS risk_score, CAST(r.at AS BIGINT) AS risk_at, coalesce(p.priority_score, 0) AS priority_score, CAST(p.at AS BIGINT) AS priority_at
+        """WITH f AS (SELECT file, path, risk_score, priority_score, coalesce(t_pos, b_pos) * 2 + (t_pos IS NULL)::INT AS ord, status FROM sl),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY risk_score DESC, ord) AS k FROM f WHERE status <> 'unchanged'), p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY priority_score DESC, ord) AS k FROM f WHERE status <> 'unchanged')
+SELECT x.path, coalesce(r.risk_score, 0) AS risk_score, CAST(r.ord AS BIGINT) AS risk_at, coalesce(p.priority_score, 0) AS priority_score, CAST(p.ord AS BIGINT) AS priority_at
 FROM (SELECT DISTINCT file, path FROM f) x LEFT JOIN r ON r.file = x.file AND r.k = 1 LEFT JOIN p ON p.file = x.file AND p.k = 1""",
         "scores",
     )
@@ -444,8 +444,8 @@ def possible_calls(spark, sf_dir):
 
 @query(
     """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey * 5 + 1) % n END AS f FROM part, n),
-w AS (SELECT k AS start, k AS at, 0 AS hops FROM e UNION ALL SELECT w.start, e.f, w.hops + 1 FROM w JOIN e ON e.k = w.at WHERE e.f IS NOT NULL AND w.hops < 4)
-SELECT w.start, w.at AS definition, CAST(w.hops AS INT) AS hops FROM w JOIN e ON e.k = w.at WHERE e.f IS NULL"""
+w AS (SELECT k AS start, k AS cur, 0 AS hops FROM e UNION ALL SELECT w.start, e.f, w.hops + 1 FROM w JOIN e ON e.k = w.cur WHERE e.f IS NOT NULL AND w.hops < 4)
+SELECT w.start, w.cur AS definition, CAST(w.hops AS INT) AS hops FROM w JOIN e ON e.k = w.cur WHERE e.f IS NULL"""
 )
 def reexport_chase(spark, sf_dir):
     parts = inputs.read(spark, sf_dir, "part").select("p_partkey")
