@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 # The order of relations and of resolutions, and what collapses into groups, in order.
 RELATIONS = ("calls", "imports", "re_exports", "references_type", "extends", "implements", "tested_by", "contains", "possible_call")
 KINDS = ("module", "function", "group")
@@ -82,11 +84,18 @@ def collapse(nodes: DataFrame, edges: DataFrame, role: str, members: DataFrame)
 
 
 def closure(edges: DataFrame, rounds: int) -> DataFrame:
-    """Distinct (from_id, to_id) reachable over ``edges``: each round doubles the length of paths."""
-    now = edges.select("from_id", "to_id").distinct()
+    """Distinct (from_id, to_id) reachable over ``edges``: each round doubles the length of paths.
+
+    Each round is checkpointed, so plans stay small; rounds end when nothing is new.
+    """
+    now = durable(edges.select("from_id", "to_id").distinct())
+    size = now.count()
     for _ in range(rounds):
         step = now.select("from_id", F.col("to_id").alias("via")).join(now.select(F.col("from_id").alias("via"), "to_id"), "via").select("from_id", "to_id")
-        now = now.union(step).distinct()
+        now = durable(now.union(step).distinct())
+        before, size = size, now.count()
+        if size == before:
+            break
     return now
 
 
