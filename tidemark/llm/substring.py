@@ -6,9 +6,9 @@ about one for each 18 words, and only these leave a task. Joins then compact:
 equal paths meet at their smallest document; where one minimizer heads
 different paths, which happens only at the ends of a repeated passage, the
 windows of one copy of each path are compared one by one. Neighbouring spans
-that continue the same source are joined into one. A path is known by two
-64-bit digests of different bases over all its words, taken at its source
-coordinates on both sides.
+that continue the same source are joined into one. Paths are compared among
+those of one minimizer, by a 64-bit digest of all their words at their source
+coordinates; windows by two digests of different bases.
 
 A span is removed if its windows also start in a document with a smaller
 doc_id; windows are judged on the input. Null texts have no words. Rows
@@ -49,12 +49,12 @@ def _batch(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
 def _keyed(docs: DataFrame) -> DataFrame:
     """Texts with the keys that tell rows apart."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).cast("long").alias("text_key"), text.alias("text"))
 
 
 def paths(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
-    """anchor, c1, c2, doc_id, text_key, at, n: ``n`` windows from word ``at`` that share a minimizer."""
-    names = ["anchor", "c1", "c2", "doc_id", "text_key", "at", "n"]
+    """anchor, digest, doc_id, text_key, at, n: ``n`` windows from word ``at`` that share a minimizer."""
+    names = ["anchor", "digest", "doc_id", "text_key", "at", "n"]
     reach = window - minimizer + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def paths(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) ->
                     least[at : at + len(view)] = view.argmin(axis=1) + np.arange(at, at + len(view))
                 at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
                 stop = np.append(at[1:], n) + window - 1
-                parts.append([grams[least[at]], _ONE.spans(p1, at, stop), _TWO.spans(p2, at, stop), np.full(len(at), doc_id), np.full(len(at), key), at, stop - at - window + 1])
+                parts.append([grams[least[at]], _TWO.spans(p2, at, stop), np.full(len(at), doc_id), np.full(len(at), key), at, stop - at - window + 1])
                 held += len(at)
                 if held >= _ROWS:
                     yield _batch(parts, names)
@@ -109,7 +109,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
     """doc_id, text_key, at, n_words, source_id, source_at: passages that also start in a smaller doc_id."""
     found = stored(paths(docs, window, minimizer))
-    path, source = ["anchor", "c1", "c2"], F.min(F.struct("doc_id", "at", "text_key", "n")).alias("source")
+    path, source = ["anchor", "digest"], F.min(F.struct("doc_id", "at", "text_key", "n")).alias("source")
     least = stored(found.groupBy(*path).agg(source, F.count("*").alias("copies")))
     whole = (
         found.join(least.filter("copies > 1").select(*path, F.col("source.doc_id").alias("source_id"), F.col("source.at").alias("source_at")), path)
@@ -180,7 +180,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINI
             rows = [_cut(t, x)[2] for t, x in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()).cast(pa.string())], names=["row", "cut"])
 
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")).alias("key")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).cast("long").alias("text_key")).alias("key")
     spans = _spans_by_document(docs, window, minimizer)
     whole = docs.select(F.struct("*").alias("row"), key).select("row", "key.doc_id", "key.text_key")
     rows = whole.join(spans, ["doc_id", "text_key"], "left").select("row", F.col("row.text").cast("string").alias("text"), "spans")
