@@ -61,7 +61,7 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: floa
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"))
     rows = rows.join(tables, F.col("_of").eqNullSafe(F.col("_source")))
     u = drawn(F.lit(str(seed)), "_id")
-    rows = rows.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")).filter("n_copies > 0")
+    rows = rows.withColumn("n_copies", F.transform(F.array(u), lambda v: F.size(F.filter("_cdf", lambda c: c <= v)))[0].cast("long")).filter("n_copies > 0")
     rows = rows.select("_row", "_id", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     return rows.withColumn("shuffle_key", key).orderBy("shuffle_key", "_id", "copy")
