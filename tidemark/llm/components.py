@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+EDGES_A_TASK = 10_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     grow with the logarithm of the largest diameter.
     """
     now = durable(edges.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = now.coalesce(1 + now.count() // EDGES_A_TASK)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
@@ -39,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         if not mark[0]:
             break
-        now = durable(_small_star(_large_star(now)))
+        # Few edges need few files: each task of a later map writes its own.
+        now = durable(_small_star(_large_star(now)).coalesce(1 + mark[0] // EDGES_A_TASK))
     tree = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return tree.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 

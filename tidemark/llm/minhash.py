@@ -23,14 +23,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, WordHash, durable, mixed, stored
-from .components import components
+from .components import components, forest
 
 WORDS, PERCENT, BAND, TABLES, SEED = 5, 75, 4, 24, 20240607
+#: Shingles of a block, about, and small areas that share a task.
+BLOCK_ITEMS, AREAS_A_TASK = 1 << 16, 16
 
 _HASH = WordHash()
 _ROLL = Rolling(0x9E3779B97F4A7C15)
@@ -101,6 +104,90 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     return left.join(text.withColumnsRenamed({"id": "v", "text": "right"}), "v").select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
 
 
+def _roots(parents: DataFrame, most: int = 64) -> DataFrame:
+    """(node, root) of each node of a forest of links (u, v), each u once with one smaller v: pointers jump to their roots."""
+    now = durable(parents.select(F.col("u").alias("node"), F.col("v").alias("root")))
+    for _ in range(most):
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = durable(now.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        now = jumped.select("node", "root")
+        if not jumped.filter("moved").limit(1).count():
+            break
+    return now.union(now.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _block_links(percent: int):
+    """Spanning links of the sets in one pair of blocks (side 2: one block with itself)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        for _, part in pdf.groupby("area", sort=False):
+            left, right = part[part.side != 1], part[part.side != 0]
+            if len(left) and len(right) and (len(left) > 1 or len(right) > 1 or left.rep.iloc[0] != right.rep.iloc[0]):
+                a, b = left.rep.to_numpy(), right.rep.to_numpy()
+                x, y = ([np.frombuffer(v, np.uint64) for v in side["items"]] for side in (left, right))
+                linked = _linked(x, y, percent)
+                ids = np.concatenate([a, b])
+                edges.append(np.stack([ids, ids[forest(linked)]]))
+        found = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), np.int64)
+        found = found[:, found[0] != found[1]]
+        return pd.DataFrame({"u": found[0], "v": found[1]})
+
+    return run
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of ``x`` and ``y`` are similar, by counting common items column by column."""
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(fx, fy)
+    common = np.zeros((len(x), len(y)), np.float32)
+    if len(shared):
+        (rx, cx), (ry, cy) = ((row[ok], at[ok]) for row, at, ok in (_columns(fx, nx, shared), _columns(fy, ny, shared)))
+        for at in range(0, len(shared), 4096):
+            p, q = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+            for m, r, c in ((p, rx, cx), (q, ry, cy)):
+                inside = (c >= at) & (c < at + 4096)
+                m[r[inside], c[inside] - at] = 1
+            common += p @ q.T
+    total = common.astype(np.int64)
+    return 100 * total >= percent * (nx[:, None] + ny[None, :] - total)
+
+
+def _columns(items: np.ndarray, sizes: np.ndarray, shared: np.ndarray):
+    at = np.minimum(np.searchsorted(shared, items), len(shared) - 1)
+    return np.repeat(np.arange(len(sizes)), sizes), at, shared[at] == items
+
+
+def _blocked(still: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) that span those between documents of ``still`` (rep, n, least) of one area.
+
+    Tables join documents into areas. An area is dealt into blocks of about
+    ``BLOCK_ITEMS`` shingles, a task compares two blocks by counts of common
+    shingles and emits a spanning forest; small areas share tasks.
+    """
+    areas = components(still.select(F.col("rep").alias("u"), F.col("least").alias("v")))
+    placed = still.select("rep", "n").distinct().join(areas.withColumnRenamed("node", "rep"), "rep").select("rep", "n", F.col("component").alias("area"))
+    sizes = placed.groupBy("area").agg(F.sum("n").alias("items"))
+    blocks = F.ceil(F.col("items") / BLOCK_ITEMS).cast("long")
+    dealt = durable(placed.join(sizes.select("area", blocks.alias("blocks")), "area").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks")))
+    fields = pa.schema([("rep", pa.int64()), ("area", pa.int64()), ("blocks", pa.int64()), ("own", pa.int64()), ("items", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = [shingles(t, words).tobytes() for t in b.column(4).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(items, pa.binary())], schema=fields)
+
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    full = dealt.join(text, "rep").select("rep", "area", "blocks", "own", "text").mapInArrow(sets, "rep long, area long, blocks long, own long, items binary")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("side")))
+    # One block: the area shares a task with others of its hash, AREAS_A_TASK on average.
+    tasks = max(64, dealt.filter("blocks = 1").select("area").distinct().count() // AREAS_A_TASK)
+    task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("area"), F.lit(tasks)).alias("a"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))).otherwise(F.struct(F.col("area").alias("a"), F.col("p.i").alias("i"), F.col("p.j").alias("j")))
+    spread = full.select("rep", "area", "items", "blocks", F.explode(pairs).alias("p")).select(task.alias("task"), "area", F.col("p.side").alias("side"), "rep", "items")
+    return spread.groupBy("task").applyInPandas(_block_links(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, band: int = BAND, tables: int = TABLES, seed: int = SEED) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) and kept, one row for each row of ``docs``."""
     signed = stored(sign(docs, words, band, tables, seed))
@@ -117,15 +204,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     votes = keyed.join(least, "key").filter("rep <> c").groupBy("rep", "c").agg(F.count("*").alias("n"))
     first = durable(votes.groupBy("rep").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("v")).select(F.col("rep").alias("u"), "v"))
     links = durable(confirm(first, docs, words, percent))
-    # Tables where components still meet: compare the pairs across, but for those done.
-    labelled = keyed.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    still = durable(labelled.join(open_keys, "key"))
-    x, y = still.alias("x"), still.alias("y")
-    fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    across = x.join(y, F.expr("x.key = y.key and x.rep > y.rep and x.c <> y.c") & fits).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct()
-    more = durable(confirm(across.join(first, ["u", "v"], "left_anti"), docs, words, percent))
-    grouped = components(links.union(more))
+    trees = durable(_roots(links))
+    # Documents that share a table across components are compared exactly, in blocks.
+    labelled = keyed.join(trees.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("c"))
+    open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("least")).filter("lo < hi").select("key", "least")
+    still = durable(labelled.join(open_keys, "key").select("rep", "n", "least").distinct())
+    more = _blocked(still, docs, words, percent)
+    # Components of components: only links across trees are left to follow.
+    for end in ("u", "v"):
+        more = more.join(trees.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    merged = components(more)
+    grouped = trees.join(merged.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+    alone = merged.join(trees.select("node"), "node", "left_anti")
+    grouped = grouped.union(alone.select("node", "component"))
     named = reps.select("digest", "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
     return (
         signed.select("doc_id", "n_shingles", "digest")
