@@ -29,7 +29,8 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "both", depth: int
         raise ValueError("direction is upstream, downstream or both, depth 0 to 3")
     down = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next"))
     up = edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("next"))
-    steps = {"downstream": down, "upstream": up, "both": down.union(up)}[direction].distinct()
+    # Each hop reads the edges again, so they are cut from their own plan once.
+    steps = durable({"downstream": down, "upstream": up, "both": down.union(up)}[direction].distinct())
     seen = frontier = roots.select("id").distinct().withColumn("depth", F.lit(0))
     for hop in range(1, depth + 1):
         reached = frontier.select("id").join(steps, "id").select(F.col("next").alias("id")).distinct()

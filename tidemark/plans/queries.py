@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scoring
 from ..operators import compare, edges, graph, ranking
+from ..operators.durable import durable
 from . import inputs
 from .oracles import sql
 
@@ -350,10 +351,10 @@ _STEPS["both"] = f"{_STEPS['downstream']} UNION {_STEPS['upstream']}"
 _ROOTS = ("src/d4.ts", "src/d8.ts", "src/d5.tsx")
 
 
-def _nodes_reached(spark, sf_dir, direction, depth):
-    found = inputs.import_edges(spark, sf_dir).select(F.col("importer").alias("from_id"), F.col("target").alias("to_id"))
+def _reached(spark, found, direction, depth):
+    links = found.select(F.col("importer").alias("from_id"), F.col("target").alias("to_id"))
     roots = spark.createDataFrame([(r,) for r in _ROOTS], "id string")
-    return graph.walk(found, roots, direction, depth)
+    return graph.walk(links, roots, direction, depth)
 
 
 def _walk(direction: str, depth: int) -> None:
@@ -363,7 +364,7 @@ SELECT id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY id"""
 
     @query(sql(body, "imports", recursive=True), f"walk_{direction}_depth{depth}")
     def run(spark, sf_dir):
-        return _nodes_reached(spark, sf_dir, direction, depth)
+        return _reached(spark, inputs.import_edges(spark, sf_dir), direction, depth)
 
 
 for _d in ("both", "upstream", "downstream"):
@@ -456,15 +457,15 @@ def reexport_chase(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    found = inputs.import_edges(spark, sf_dir)
-    reached = _nodes_reached(spark, sf_dir, "both", 3)
+    found = durable(inputs.import_edges(spark, sf_dir))
+    reached = _reached(spark, found, "both", 3)
     repo = inputs.repository(spark, sf_dir)
     status = F.when(~F.col("in_base"), "added").when(~F.col("in_target"), "removed").when(F.col("edited"), "modified").otherwise("unchanged")
     nodes = reached.join(repo.select(F.col("path").alias("id"), status.alias("status")), "id").select(
         "id", F.lit("module").alias("kind"), F.col("id").alias("path"), F.col("id").alias("label"), F.lit(0).alias("start_line"), "status", "depth", F.col("id").isin(*_ROOTS).alias("is_root"), paths.change_area(F.col("id")).alias("area"), F.lit(1).cast("long").alias("size")
     )
     links = found.select(F.col("importer").alias("from_id"), F.lit("imports").alias("relation"), F.col("target").alias("to_id"), "status")
-    return nodes, links
+    return durable(nodes), links
 
 
 _GRAPH = f"""WITH st AS ({_STEPS["both"]}), w AS (SELECT r AS id, 0 AS depth FROM (VALUES {", ".join(f"('{r}')" for r in _ROOTS)}) v(r) UNION ALL SELECT st.b, w.depth + 1 FROM w JOIN st ON st.a = w.id WHERE w.depth < 3),
@@ -576,7 +577,7 @@ CASE WHEN ci > 0 AND co > 0 THEN 'changed_on_both_sides' END, CASE WHEN levels >
     )
 )
 def recommend_signals(spark, sf_dir):
-    found = inputs.import_edges(spark, sf_dir)
+    found = durable(inputs.import_edges(spark, sf_dir))
     a, b = F.col("importer"), F.col("target")
     seen = found.select(a.alias("root"), a.alias("from_id"), b.alias("to_id"), "status").union(found.select(b, a, b, "status")).distinct()
     pairs = F.array(F.struct(a.alias("root"), a.alias("id")), F.struct(a.alias("root"), b.alias("id")), F.struct(b.alias("root"), a.alias("id")), F.struct(b.alias("root"), b.alias("id")))
