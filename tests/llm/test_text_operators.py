@@ -232,6 +232,23 @@ def test_repeated_passages(docs, corpus, empty):
     assert left.columns == [*docs.columns, "cut", "spans"] and left.filter("doc_id = 3").count() == 0
 
 
+def test_repeated_passages_inside_their_source(spark):
+    """A path that stands twice in its source document loses its windows at each place."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k, size in enumerate((60, 120)):
+        x, c = fresh(size), fresh(45)
+        rows += [(10 * k + 1, fresh(40) + x + fresh(40)), (10 * k + 2, c + x + fresh(40) + c + x + fresh(40)), (10 * k + 3, c + x + fresh(9))]
+    rows += [(30, ["y"] + ["x"] * 50), (31, ["x"] * 300), (31, ["z"] + ["x"] * 70), (31, ["z"] + ["x"] * 70)]
+    rows = [(i, " ".join(w), None, None, 0) for i, w in rows]
+    got = substring.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    expected = brute_repeats(rows)
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got) == expected
+    removed = collections.Counter((k[0], k[2]) for k in expected)
+    assert removed[2, 120] == removed[12, 240] == removed[31, 300] == 1
+
+
 def test_mixing(docs, empty, spark):
     rows = mixing.mix(docs.selectExpr("*", "7 as copy_of"), {"hot": 3.0, None: 1.0}).collect()
     assert {r.copy for r in rows} >= {1} and all(1 <= r.copy <= r.n_copies for r in rows)

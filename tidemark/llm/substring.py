@@ -5,7 +5,8 @@ windows that share their least ``minimizer``-gram form nonbranching paths,
 about one for each 18 words, and only these leave a task. Joins then compact:
 equal paths meet at their smallest document; where one minimizer heads
 different paths, which happens only at the ends of a repeated passage, the
-windows of one copy of each path are compared one by one. Neighbouring spans
+windows of one copy of each path are compared one by one, and what is found
+there holds for the path's other copies in that document too. Neighbouring spans
 that continue the same source are joined into one. Paths are compared among
 those of one minimizer, by a 64-bit digest of all their words at their source
 coordinates; windows by two digests of different bases.
@@ -85,16 +86,17 @@ def paths(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) ->
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """w1, w2, doc_id, text_key, at of each window of ``wanted`` (doc_id, text_key, at, n)."""
-    names = ["w1", "w2", "doc_id", "text_key", "at"]
+    """w1, w2, doc_id, text_key, at of each window of ``wanted`` (doc_id, text_key, at, n), and the ``start`` of its path."""
+    names = ["w1", "w2", "doc_id", "text_key", "at", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in batches:
             for doc_id, key, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
                 _, p1, p2 = _digests(text)
-                at = np.unique(np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in spans]))
-                parts.append([_ONE.spans(p1, at, at + window), _TWO.spans(p2, at, at + window), np.full(len(at), doc_id), np.full(len(at), key), at])
+                at = np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in spans])
+                start = np.concatenate([np.full(x["n"], x["at"]) for x in spans])
+                parts.append([_ONE.spans(p1, at, at + window), _TWO.spans(p2, at, at + window), np.full(len(at), doc_id), np.full(len(at), key), at, start])
                 held += len(at)
                 if held >= _ROWS:
                     yield _batch(parts, names)
@@ -111,22 +113,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIM
     found = stored(paths(docs, window, minimizer))
     path, source = ["anchor", "digest"], F.min(F.struct("doc_id", "at", "text_key", "n")).alias("source")
     least = stored(found.groupBy(*path).agg(source, F.count("*").alias("copies")))
-    whole = (
-        found.join(least.filter("copies > 1").select(*path, F.col("source.doc_id").alias("source_id"), F.col("source.at").alias("source_at")), path)
-        .filter("source_id < doc_id")
-        .select("doc_id", "text_key", "at", F.col("n").alias("n_windows"), "source_id", "source_at")
-    )
+    sources = least.filter("copies > 1").select(*path, F.col("source.doc_id").alias("source_id"), F.col("source.at").alias("source_at"), F.col("source.text_key").alias("source_key"))
+    copies = stored(found.join(sources, path).filter("source_id < doc_id or source_at <> at or source_key <> text_key").drop(*path))
+    whole = copies.filter("source_id < doc_id").select("doc_id", "text_key", "at", F.col("n").alias("n_windows"), "source_id", "source_at")
     # A minimizer of more than one path: a branch, or the end of a passage.
     branching = least.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
     ends = least.join(branching, "anchor").select("source.doc_id", "source.text_key", "source.at", "source.n")
     single = stored(_windows(docs, ends, window))
     first = single.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("s"), F.count("*").alias("copies")).filter("copies > 1")
-    edges = (
+    edges = stored(
         single.join(first.select("w1", "w2", F.col("s.doc_id").alias("source_id"), F.col("s.at").alias("source_at")), ["w1", "w2"])
         .filter("source_id < doc_id")
-        .select("doc_id", "text_key", "at", F.lit(1).cast("long").alias("n_windows"), "source_id", "source_at")
+        .select("doc_id", "text_key", "at", "start", "source_id", "source_at")
+    )
+    # The path's other copies in its source's document: no smaller document has them whole, so its windows are theirs.
+    again = copies.filter("source_id = doc_id").select("doc_id", F.col("source_key").alias("k"), F.col("source_at").alias("start"), "text_key", "at").distinct()
+    per_path = edges.groupBy("doc_id", F.col("text_key").alias("k"), "start").agg(F.collect_set(F.struct("at", "source_id", "source_at")).alias("w"))
+    carried = again.join(per_path, ["doc_id", "k", "start"]).select("doc_id", "text_key", (F.col("at") - F.col("start")).alias("shift"), F.explode("w").alias("w"))
+    one = F.lit(1).cast("long").alias("n_windows")
+    spans = whole.union(edges.select("doc_id", "text_key", "at", one, "source_id", "source_at")).union(
+        carried.select("doc_id", "text_key", (F.col("w.at") + F.col("shift")).alias("at"), one, "w.source_id", "w.source_at")
     )
-    spans = whole.union(edges)
     # Compaction: a span that goes on where another ends, here and in the source, joins it.
     line = Window.partitionBy("doc_id", "text_key").orderBy("at", "n_windows", "source_id", "source_at")
     follows = F.struct((F.lag(F.col("at") + F.col("n_windows")).over(line)), F.lag("source_id").over(line), F.lag(F.col("source_at") + F.col("n_windows")).over(line)) == F.struct("at", "source_id", "source_at")
