@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from tidemark.operators import compare, edges, graph
+from tidemark.plans import queries
 from tidemark.sources import git
 
 
@@ -95,3 +96,38 @@ def test_git_inventory(spark, tmp_path):
     got = {r.target_path or r.base_path: (r.status, r.added_lines, r.removed_lines) for r in tables["file_change"].collect()}
     assert got == {"modified.txt": ("modified", 2, 1), "deleted.txt": ("deleted", 0, 1), "new name.txt": ("renamed", 0, 0), "added.txt": ("added", 1, 0), "image.bin": ("binary", 0, 0)}
     assert tables["hunk"].count() == 3 and tables["blob"].filter("state = 'available'").count() == 5
+
+
+def test_cycles_see_every_user(spark, tmp_path):
+    """Transitions of all users count; brute force walks each state's successors."""
+    rng, rows = random.Random(4), []
+    for user in range(60):
+        for k in range(rng.randrange(1, 5)):
+            rows.append((len(rows), f"2024-01-{rng.randrange(1, 31):02d} 00:00:00", user, rng.choice("abcd")))
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    links, by_user = {True: defaultdict(set), False: defaultdict(set)}, defaultdict(list)
+    for event_id, ts, user, kind in rows:
+        by_user[user].append((ts, event_id, kind))
+    for u, own in by_user.items():
+        own.sort()
+        for (ts, _, a), (_, _, b) in zip(own, own[1:]):
+            links[ts >= "2024-01-16"][f"{a}_{u % 6}"].add(f"{b}_{(u * 5 + 1) % 6}")
+
+    def brute(out):
+        reach = {}
+        for x in list(out):
+            todo, seen = [x], set()
+            while todo:
+                new = out.get(todo.pop(), set()) - seen
+                seen |= new
+                todo += new
+            reach[x] = seen
+        return {x: min(y for y in r if x in reach.get(y, ())) for x, r in reach.items() if x in r}
+
+    late, early = brute(links[True]), brute(links[False])
+    got = {r.member: r.key for r in queries.cycles(spark, str(tmp_path)).collect()}
+    assert got == late and len(late) > 3
+    lists = [{k: ",".join(sorted(m for m in c if c[m] == k)) for k in set(c.values())} for c in (late, early)]
+    new = {(k, m) for k, m in lists[0].items() if m not in lists[1].values()}
+    assert {(r.key, r.members) for r in queries.cycle_introduced(spark, str(tmp_path)).collect()} == new != set()
