@@ -4,11 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import language, licenses, minhash, mixing, packing, quality, substring, token_files
@@ -266,6 +268,30 @@ def test_licenses(spark, empty):
     assert licenses.licensed(empty).count() == 0
 
 
+def test_license_files(spark):
+    """Files as they come: titled, wrapped anew at any width, with holders, as comments; prose about copyright stays."""
+    full = {}
+    for name, text in licenses.CATALOGUE:
+        if len(text) > 500:
+            full.setdefault(name, text)
+    assert set(full) == {"MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0"}
+    wrap = lambda text, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text))
+    titles = {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "ISC License (ISC)"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License']}
+    bodies = []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        for n in (40, 60, 66, 72, 79):
+            bodies += [(name, f"{title}\n\n{holder}\n\n{wrap(full[name], n)}\n") for title in titles[name] for holder in ("Copyright (c) 2020 Some One\nAll rights reserved.", "Copyright Some One and others\nCopyright Another")]
+        bodies += [(name, "/*\n" + "\n".join(f" * {x}" for x in ("Copyright Some One\n\n" + wrap(full[name], 70)).split("\n")) + "\n */")]
+    bodies += [(name, full[name]) for name in ("Apache-2.0", "GPL-3.0", "MPL-2.0")]
+    bodies += [(name, full[name].partition("END OF TERMS")[0]) for name in ("Apache-2.0", "GPL-3.0")]
+    bodies += [("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Some One"))]
+    bodies += [("", full["MIT"] + "\nOnly for good."), ("", "MIT License"), ("", "Copyright notices of " + full["ISC"])]
+    rows = [(i, text, "", "", 0) for i, (_, text) in enumerate(bodies)]
+    got = {r.doc_id: (r.licenses, r.whole_text) for r in licenses.licensed(spark.createDataFrame(rows, SCHEMA)).select("doc_id", F.col("licenses"), "whole_text").collect()}
+    wrong = [(i, name, got[i], text[:80]) for i, (name, text) in enumerate(bodies) if got[i][1] != bool(name) or name not in got[i][0].split(",")]
+    assert not wrong, wrong
+
+
 def test_language(spark, docs, empty):
     train = spark.createDataFrame([("en", "the cat and the dog with this that"), ("de", "der hund und die katze mit nicht schön"), ("fr", "le chat et la chienne avec été où")] * 20, "lang string, text string")
     model = language.learn(train)

@@ -1,9 +1,10 @@
 """Licence scan: canonical digests of entire texts, hash-joined to a catalogue of known digests.
 
 The units looked up are a document's whole text and each of its lines, each as
-one entire text. Canonical form: lower case, copyright lines gone, equivalent
-spellings made one, every run of other characters than letters and digits one
-space. A unit matches where its SHA-256 is in the catalogue.
+one entire text. Canonical form: lower case, holder and year lines gone,
+equivalent spellings made one, every run of other characters than letters and
+digits one space, a licence's title at the start gone. A unit matches where its
+SHA-256 is in the catalogue.
 
 Null and blank units match nothing. A line that repeats counts each time. Rows
 that share a doc_id share what was found in any of them; rows without doc_id
@@ -12,6 +13,9 @@ find nothing. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +28,8 @@ _ISC = """Permission to use, copy, modify, and/or distribute this software for a
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
-#: Licence id and a text that states it. Fixed, and so is the size of its digests.
-CATALOGUE = (
+#: Licence id and a text that states it.
+STATEMENTS = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -46,6 +50,24 @@ CATALOGUE = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+
+
+def _full_texts() -> tuple[tuple[str, str], ...]:
+    """Licence id and full text, in each form that licence files have."""
+    out = [("ISC", _ISC.replace("and/or distribute", "and distribute"))]
+    for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0"):
+        text = (files(__package__) / "license_texts" / f"{name}.txt").read_text("utf-8")
+        out.append((name, text))
+        if name.startswith("BSD"):
+            out.append((name, re.sub(r"(?m)^[123]\.", "*", text)))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:  # Without the guide on how to apply it.
+            out += [(name, terms), (name, terms + end)]
+    return tuple(out)
+
+
+#: Statements and full texts. Fixed, and so is the size of their digests.
+CATALOGUE = (*STATEMENTS, *_full_texts())
 #: Spellings that mean the same: pattern in lower case, and what it becomes.
 EQUIVALENT = (
     ("licence", "license"),
@@ -56,17 +78,30 @@ EQUIVALENT = (
     ("http://", "https://"),
     ("&", " and "),
 )
-#: Lines that name holders or years rather than terms.
-COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)"
+_MARKS, _HOLDER = r"[^\p{L}\p{N}\n]*", r"copyright[ \t:]+(?!(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?|permission)\b)\p{L}"
+#: Lines that name holders or years rather than terms: with a sign or year
+#: anywhere, with a name at the start of a paragraph or right below another.
+#: Prose that breaks before the word copyright stays.
+COPYRIGHT = (
+    rf"(?md)^(?:{_MARKS}(?:copyright[ \t:,]*(?:\(c\)|©|&copy;|[\[<{{]|[12]\d\d\d)|\(c\)[ \t]*(?:copyright|[12]\d\d\d)|©|&copy;|all rights reserved)"
+    rf"|(?<=\A|(?:\A|\n)[ \t\r*#/;]{{0,9}}\n){_MARKS}{_HOLDER}|(?<=\A){_MARKS}\(c\)[ \t]*\p{{L}})[^\n]*(?:\n{_MARKS}{_HOLDER}[^\n]*)*"
+)
+#: Titles that open a canonical text and are no terms.
+TITLE = (
+    r"^(?:the )?(?:(?:mit|expat) license(?: mit| expat)?|isc license(?: isc)?|(?:[23] clause bsd|bsd [23] clause|bsd|(?:new|modified|revised|simplified) bsd)(?: new| revised| modified| simplified| or){0,3} license"
+    r"|apache license version 2 0(?: january 2004)?(?: https www apache org licenses)?|gnu general public license version 3(?: 29 june 2007)?|mozilla public license version 2 0) "
+)
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a text; of several lines, without copyright lines."""
-    kept = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1), lambda x: ~x.rlike(COPYRIGHT))
-    out = F.array_join(kept, "\n")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    out = F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    # Again, for what a line break parted.
+    out = F.replace(out, F.lit("copyright owner"), F.lit("copyright holder"))
+    return F.regexp_replace(out, TITLE, "")
 
 
 def scan(docs: DataFrame, catalogue: tuple[tuple[str, str], ...] = CATALOGUE) -> DataFrame:
@@ -92,14 +127,17 @@ def licensed(docs: DataFrame, catalogue: tuple[tuple[str, str], ...] = CATALOGUE
     )
 
 
-def duckdb_sql(catalogue: tuple[tuple[str, str], ...] = CATALOGUE) -> str:
-    """The scan over ``documents`` in DuckDB."""
+_SQL_COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)"
+
+
+def duckdb_sql(catalogue: tuple[tuple[str, str], ...] = STATEMENTS) -> str:
+    """The scan over ``documents`` in DuckDB, for statements only: it knows no full texts but two, no titles, and takes every line that opens with copyright as a holder's."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
     def form(x: str) -> str:
-        out = f"array_to_string(list_filter(string_split(lower({x}), chr(10)), lambda y: NOT regexp_matches(y, {quoted(COPYRIGHT)})), chr(10))"
+        out = f"array_to_string(list_filter(string_split(lower({x}), chr(10)), lambda y: NOT regexp_matches(y, {quoted(_SQL_COPYRIGHT)})), chr(10))"
         for a, b in EQUIVALENT:
             out = f"replace({out}, {quoted(a)}, {quoted(b)})"
         return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
