@@ -98,6 +98,13 @@ def test_git_inventory(spark, tmp_path):
     assert tables["hunk"].count() == 3 and tables["blob"].filter("state = 'available'").count() == 5
 
 
+def test_cycles_of_any_length(spark):
+    """A ring of more hops than seven doublings cover is one cycle."""
+    ring = [(f"r{k:03d}", f"r{(k + 1) % 300:03d}") for k in range(300)]
+    got = {r.member: r.key for r in graph.cycles(spark.createDataFrame(ring, "from_id string, to_id string")).collect()}
+    assert got == {f"r{k:03d}": "r000" for k in range(300)}
+
+
 def test_cycles_see_every_user(spark, tmp_path):
     """Transitions of all users count; brute force walks each state's successors."""
     rng, rows = random.Random(4), []

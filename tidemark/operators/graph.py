@@ -84,36 +84,32 @@ def collapse(nodes: DataFrame, edges: DataFrame, role: str, members: DataFrame)
     return left.unionByName(group), merged
 
 
-def closure(edges: DataFrame, rounds: int) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """Distinct (from_id, to_id) reachable over ``edges``: each round doubles the length of paths.
 
     Each round is checkpointed, so plans stay small; rounds end when nothing is new.
     """
     now = durable(edges.select("from_id", "to_id").distinct())
     size = now.count()
-    for _ in range(rounds):
+    while True:
         step = now.select("from_id", F.col("to_id").alias("via")).join(now.select(F.col("from_id").alias("via"), "to_id"), "via").select("from_id", "to_id")
         now = durable(now.union(step).distinct())
         before, size = size, now.count()
         if size == before:
-            break
-    return now
+            return now
 
 
-def cycles(edges: DataFrame, rounds: int = 7) -> DataFrame:
-    """key and member of each class of nodes that reach one another, self-loops included; key is the least member.
-
-    For answers' bounded graphs: ``rounds`` doublings cover ``2 ** rounds`` nodes.
-    """
-    reach = closure(edges, rounds)
+def cycles(edges: DataFrame) -> DataFrame:
+    """key and member of each class of nodes that reach one another, self-loops included; key is the least member."""
+    reach = closure(edges)
     back = reach.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
     mutual = reach.join(back, ["from_id", "to_id"], "left_semi")
     return mutual.groupBy(F.col("from_id").alias("member")).agg(F.min("to_id").alias("key")).select("key", "member")
 
 
-def introduced_cycles(base: DataFrame, target: DataFrame, rounds: int = 7) -> DataFrame:
+def introduced_cycles(base: DataFrame, target: DataFrame) -> DataFrame:
     """Cycles (key, members) of the target whose member list the base doesn't have."""
-    listed = lambda e: cycles(e, rounds).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("member")), ",").alias("members"))
+    listed = lambda e: cycles(e).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("member")), ",").alias("members"))
     return listed(target).join(listed(base).select("members"), "members", "left_anti").select("key", "members")
 
 
