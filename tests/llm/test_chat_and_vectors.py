@@ -31,6 +31,32 @@ def test_windows_read_back(spark, budget):
         assert all(sum(t.repeated for t in w.turns) <= 1 + chat.HISTORY for w in made)
 
 
+def test_windows_stay_within_the_budget(spark):
+    """System and history count; the system turn is kept wherever it stands; only a turn too long for a window exceeds."""
+    budget, rows = 60, []
+    for conv, system_at in ((1, 0), (2, 3), (3, None), (4, 9)):
+        for i in range(40):
+            role = "system" if i == system_at else "user" if i % 2 else "assistant"
+            rows.append((conv, i, role, "be good" if role == "system" else "x" * (7 * i * conv % 50) if i != 20 else "y" * 900))
+    rows += [(5, 0, "assistant", "a" * 150), (5, 0, "system", "be good"), (5, 1, "user", "b" * 150), (5, 2, "assistant", "c")]
+    windows, got = read_back(spark.createDataFrame(rows, TURNS), budget=budget)
+    made = sorted(windows.collect(), key=lambda w: (w.conv_id, w.window_id))
+    seen, repeats = set(), 0
+    for w in made:
+        pieces = [(w.text[t.start : t.start + t.length], t.repeated) for t in w.turns]
+        is_system = [p.startswith("<|im_start|>system<|im_sep|>") for p, _ in pieces]
+        if w.conv_id in seen:
+            assert is_system[0] and pieces[0][1] and sum(is_system) == 1
+        if any(is_system):
+            seen.add(w.conv_id)
+        turns = [x for x, s in zip(pieces, is_system) if not s]
+        repeats += sum(r for _, r in turns)
+        if sum(-(-len(p) // chat.CHARS_PER_TOKEN) for p, _ in pieces) > budget:
+            assert len(turns) == 1 and "y" * 900 in turns[0][0]
+    assert seen == {1, 2, 4, 5} and repeats > 5
+    assert {c: r.n_turns for c, r in got.items()} == {1: 40, 2: 40, 3: 40, 4: 40, 5: 4}
+
+
 def test_no_turns(spark):
     windows, got = read_back(spark.createDataFrame([], TURNS))
     assert windows.count() == 0 and got == {}

@@ -1,11 +1,16 @@
 """Chat formatting in budgeted, turn-aligned windows, with DataFrame functions only.
 
-Prefix sums of turn tokens deal a conversation's turns to windows: a window's
-new turns are those that start within one ``budget`` of tokens. Each window
-opens with the conversation's system turn, then repeats up to ``history`` turns
-of the window before, then has its new turns. The loss covers the texts of new
-assistant turns, so each target is learned once. Turns are never cut; only
-windows, which a budget bounds, are gathered, not conversations.
+Prefix sums of turn tokens deal a conversation's turns to windows. A stride is
+what the system turn leaves of the ``budget``: turns that lie within one stride
+share a window, a turn that crosses into the next has its own. The system turn
+is the first with that role, wherever it stands; each window after its own
+opens with it, then repeats up to ``history`` turns of the window before, the
+nearest first and as far as the budget goes, then has its new turns. The loss
+covers the texts of new assistant turns, so each target is learned once.
+
+So a window's tokens stay within the budget. Turns are never cut: one that
+exceeds the budget along with the system turn gets a window without history,
+and isn't repeated. Only windows are gathered, not conversations.
 
 A text is escaped so that no control string can stand in it: a backslash is
 doubled and ``<|`` becomes ``<\\|``; ``unescaped`` undoes both.
@@ -58,21 +63,33 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     )
     by_at = Window.partitionBy("conv_id").orderBy("at")
     before = by_at.rowsBetween(Window.unboundedPreceding, -1)
-    opening = F.col("is_system") & (F.col("at") == 1)
-    tokens = F.when(opening, 0).otherwise(F.ceil(F.length("piece") / chars_per_token))
-    rows = rows.withColumn("bucket", F.floor(F.coalesce(F.sum(tokens).over(before), F.lit(0)) / budget))
-    rows = rows.withColumn("new", F.when(F.col("bucket") == F.lag("bucket").over(by_at), 0).otherwise(1))
+    whole = Window.partitionBy("conv_id")
+    rows = rows.withColumn("opening", F.col("is_system") & (F.coalesce(F.sum(F.col("is_system").cast("long")).over(before), F.lit(0)) == 0))
+    size = F.ceil(F.length("piece") / chars_per_token)
+    rows = rows.withColumn("tokens", F.when(F.col("opening"), 0).otherwise(size)).withColumn("system", F.coalesce(F.max(F.when(F.col("opening"), size)).over(whole), F.lit(0)))
+    rows = rows.withColumn("left", F.greatest(F.lit(budget) - F.col("system"), F.lit(1))).withColumn("from", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    bucket, until = F.floor(F.col("from") / F.col("left")), F.floor((F.col("from") + F.col("tokens") - 1) / F.col("left"))
+    rows = rows.withColumn("deal", F.struct(bucket.alias("bucket"), F.when(until > bucket, F.col("at")).otherwise(0).alias("alone")))
+    # The system turn joins the turn after it.
+    rows = rows.withColumn("deal", F.when(F.col("opening"), F.coalesce(F.lead("deal").over(by_at), F.lag("deal").over(by_at), F.col("deal"))).otherwise(F.col("deal")))
+    rows = rows.withColumn("new", F.when(F.col("deal") == F.lag("deal").over(by_at), 0).otherwise(1))
     rows = rows.withColumn("span", F.sum("new").over(by_at.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    rows = rows.withColumn("last", F.max("span").over(Window.partitionBy("conv_id")))
-    later = [F.lead("span", k).over(by_at) for k in range(1, history + 1)]
-    after = F.coalesce(*[F.when(x != F.col("span"), x) for x in later], F.lit(-1).cast("long")) if history else F.lit(-1).cast("long")
-    rows = rows.withColumn("after", after)
+    rows = rows.withColumn("last", F.max("span").over(whole))
+    in_span = Window.partitionBy("conv_id", "span").orderBy("at")
+    rows = rows.withColumn("own", F.sum("tokens").over(in_span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("rest", F.sum("tokens").over(in_span.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    later = [F.lead(F.struct("span", "own"), k).over(by_at) for k in range(1, history + 1)]
+    follows = F.coalesce(*[F.when(x.span != F.col("span"), x) for x in later]) if history else F.lit(None).cast("struct<span:bigint,own:bigint>")
+    rows = rows.withColumn("follows", follows)
+    fits = F.col("system") + F.col("rest") + F.col("follows.own") <= budget
+    rows = rows.withColumn("after", F.when(fits, F.col("follows.span")).otherwise(-1))
     # Each turn's windows: its own, and those that repeat it.
-    repeats = F.when(opening, F.when(F.col("last") > F.col("span"), F.sequence(F.col("span") + 1, F.col("last")))).when(F.col("after") >= 0, F.array("after"))
+    repeats = F.when(F.col("opening"), F.when(F.col("last") > F.col("span"), F.sequence(F.col("span") + 1, F.col("last")))).when(F.col("after") >= 0, F.array("after"))
     own = F.array(F.struct(F.col("span").alias("window_id"), F.lit(False).alias("repeated")))
     again = F.transform(F.coalesce(repeats, F.array().cast("array<bigint>")), lambda w: F.struct(w.alias("window_id"), F.lit(True).alias("repeated")))
-    placed = rows.select("conv_id", "at", "is_target", "piece", "head_length", F.explode(F.concat(own, again)).alias("place"))
-    placed = placed.select("conv_id", "at", "is_target", "piece", "head_length", F.col("place.window_id").alias("window_id"), F.col("place.repeated").alias("repeated"))
+    placed = rows.select("conv_id", "opening", "at", "is_target", "piece", "head_length", F.explode(F.concat(own, again)).alias("place"))
+    at = F.when(F.col("opening") & F.col("place.repeated"), 0).otherwise(F.col("at")).alias("at")
+    placed = placed.select("conv_id", at, "is_target", "piece", "head_length", F.col("place.window_id").alias("window_id"), F.col("place.repeated").alias("repeated"))
     inside = Window.partitionBy("conv_id", "window_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(inside), F.lit(0)))
     part = F.struct("at", "piece", "head_length", "is_target", "repeated", "start")
