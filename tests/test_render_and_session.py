@@ -33,7 +33,7 @@ def test_mermaid():
 
 def test_cursor_continues_its_question():
     token = session.encode_cursor("a1", "list_changed_files", {"limit": 10}, 20)
-    assert session.decode_cursor(token, "a1", "list_changed_files", {"limit": None}) == 20
+    assert session.decode_cursor(token, "a1", "list_changed_files", {"limit": None}) == ({"limit": 10}, 20)
     for bad in (("a2", "list_changed_files", {}), ("a1", "list_changed_functions", {}), ("a1", "list_changed_files", {"limit": 5})):
         with pytest.raises(session.BadCursor):
             session.decode_cursor(token, *bad)
@@ -51,9 +51,3 @@ def test_cache_keeps_the_newest(spark):
     for k in (1, 2, 1, 3, 2):
         cache.get(k, build(k))
     assert built == [1, 2, 3, 2] and list(cache.held) == [3, 2]
-
-
-def test_line_server():
-    server = session.LineServer({"analyze": lambda p: {"n": len(p)}})
-    out = [json.loads(x) for x in server.serve(['{"id":1,"protocol_version":2,"params":{"a":1}}', "", "no", '{"id":2,"protocol_version":1}', '{"id":3,"protocol_version":2,"method":"x"}', '{"id":4,"extra":1}'])]
-    assert [x.get("result") or x["error"]["code"] for x in out] == [{"n": 1}, "malformed_request", "unsupported_protocol_version", "unknown_method", "malformed_request"]

@@ -44,7 +44,9 @@ def text_lines(text: Column) -> Column:
 def line_delta(pairs: DataFrame) -> DataFrame:
     """``pairs`` (id, before, after) to id, added and removed: differences of the line multisets.
 
-    Each side's lines are counted together in one shuffle by (id, line).
+    Each side's lines are counted together in one shuffle by (id, line). A line
+    that only moved counts on neither side, where a diff counts it on both; the
+    Git source has a diff's own counts.
     """
     sides = F.array(F.struct(F.lit(1).alias("side"), text_lines(F.coalesce("after", F.lit(""))).alias("lines")), F.struct(F.lit(-1).alias("side"), text_lines(F.coalesce("before", F.lit(""))).alias("lines")))
     rows = pairs.select("id", F.explode(sides).alias("x")).select("id", "x.side", F.explode("x.lines").alias("line"))
@@ -54,15 +56,20 @@ def line_delta(pairs: DataFrame) -> DataFrame:
 
 
 def match_entities(base: DataFrame, target: DataFrame, key: list[str], order: list[str], body: str) -> DataFrame:
-    """Pair entities of equal key across two sides: key, b, t (structs or null), confidence.
+    """Pair entities of equal key across two sides: key, b, t (structs or null), confidence."""
+    columns = [c for c in base.columns if c not in key]
+    rows = base.select(*key, F.lit(True).alias("is_base"), F.struct(*columns).alias("e")).unionByName(target.select(*key, F.lit(False).alias("is_base"), F.struct(*columns).alias("e")))
+    return match_sides(rows, key, order, body)
+
+
+def match_sides(rows: DataFrame, key: list[str], order: list[str], body: str) -> DataFrame:
+    """As ``match_entities``, of both sides in one table: key, is_base and e, a struct.
 
     A key that stands once on each side at most is exact (1.0). Otherwise equal
     bodies pair first, k-th with k-th (0.9), and what is left pairs by position
-    (0.6), surplus included. One shuffle, by key: ranks, counts and pairs all
-    follow from windows over it.
+    (0.6), surplus included. Ranks, counts and pairs all follow from windows
+    over the key, so rows that are dealt by a part of it are not dealt again.
     """
-    columns = [c for c in base.columns if c not in key]
-    rows = base.select(*key, F.lit(True).alias("is_base"), F.struct(*columns).alias("e")).unionByName(target.select(*key, F.lit(False).alias("is_base"), F.struct(*columns).alias("e")))
     place = [F.col(f"e.{c}") for c in order]
     by_key = Window.partitionBy(*key)
     by_body = Window.partitionBy(*key, F.col(f"e.{body}"))

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed; a folder of our own serves only where the session names none."""
+    """``df`` checkpointed.
+
+    A local session that names no folder gets one of its own that goes when the
+    driver ends; on a cluster that is an error, as executors couldn't share it.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            at = "file://" + folder
+        context.setCheckpointDir(at)
     return df.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import durable
@@ -14,8 +14,9 @@ COLLAPSED = ("tests", "generated", "vendored", "lockfile")
 MAX_DEPTH = 3
 
 
-def _rank(column: str, names: tuple[str, ...]):
-    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column))
+def rank_of(column: Column, names: tuple[str, ...]) -> Column:
+    """Place of a value among names in their fixed order, from 1."""
+    return F.array_position(F.array(*[F.lit(n) for n in names]), column)
 
 
 def walk(edges: DataFrame, roots: DataFrame, direction: str = "both", depth: int = 1) -> DataFrame:
@@ -52,13 +53,13 @@ def truncate(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int)
     relation, to_id) follow if both ends stay, in their order, up to a bound.
     Both bounds are features of the answer; top-k keeps no more than that.
     """
-    priority = [F.col("is_root").desc(), (F.col("kind") == "group").desc(), (F.col("status") != "unchanged").desc(), "depth", _rank("kind", KINDS), "path", "start_line", "label", "id"]
+    priority = [F.col("is_root").desc(), (F.col("kind") == "group").desc(), (F.col("status") != "unchanged").desc(), "depth", rank_of(F.col("kind"), KINDS), "path", "start_line", "label", "id"]
     kept = nodes.orderBy(*priority).limit(max_nodes)
-    place = Window.orderBy(_rank("kind", KINDS), "path", "start_line", "label", "id")
+    place = Window.orderBy(rank_of(F.col("kind"), KINDS), "path", "start_line", "label", "id")
     kept = kept.withColumn("key", F.concat(F.lit("n"), (F.row_number().over(place) - 1).cast("string")))
     ids = kept.select("id")
     inside = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    return kept, inside.orderBy("from_id", _rank("relation", RELATIONS), "to_id").limit(max_edges)
+    return kept, inside.orderBy("from_id", rank_of(F.col("relation"), RELATIONS), "to_id").limit(max_edges)
 
 
 def collapse(nodes: DataFrame, edges: DataFrame, role: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -79,23 +79,28 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edges(rows.filter("side = 'base'"), rows.filter("side = 'target'"), ["importer", "target"])
 
 
-def entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Functions of both sides: file, name, pos, first, last, cyc, cog, body, flag."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    li = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("name"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("pos"), F.col("l_quantity").cast("int").alias("loc")
-    )
+def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of both sides in one pass over the order lines, dealt by file: file, name, is_base, e (pos, first, last, cyc, cog, body, exported)."""
+    order = Window.partitionBy("file").orderBy("name", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    li = read(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "file", "l_linenumber": "name"})
+    li = li.select("file", "name", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("pos"), F.col("l_quantity").cast("int").alias("loc"))
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     grown = s % 4 == 0
-    body = (p % 50).alias("body")
 
-    def side(keep, shift, cyc, cog, exported):
+    def side(is_base, keep, shift, cyc, cog, exported):
         first = F.col("pos") * 60 + shift
-        return li.filter(keep).select("file", "name", "pos", first.alias("first"), (first + F.col("loc") - 1).alias("last"), cyc.cast("int").alias("cyc"), cog.cast("int").alias("cog"), body, exported.alias("exported"))
+        e = F.struct(F.col("pos"), first.alias("first"), (first + F.col("loc") - 1).alias("last"), cyc.cast("int").alias("cyc"), cog.cast("int").alias("cog"), (p % 50).alias("body"), exported.alias("exported"))
+        return F.when(keep, F.struct(F.lit(is_base).alias("is_base"), e.alias("e")))
+
+    base = side(True, (p + s) % 7 != 0, 0, 1 + p % 17, s % 40, F.col("l_returnflag") == "R")
+    target = side(False, (p * 3 + s) % 9 != 0, 2, 1 + p % 17 + F.when(grown, p % 7).otherwise(0), s % 40 + F.when(grown, p % 13).otherwise(0), F.col("l_linestatus") == "O")
+    return li.select("file", "name", F.explode(F.array_compact(F.array(base, target))).alias("x")).select("file", "name", "x.is_base", "x.e")
 
-    base = side((p + s) % 7 != 0, 0, 1 + p % 17, s % 40, F.col("l_returnflag") == "R")
-    target = side((p * 3 + s) % 9 != 0, 2, 1 + p % 17 + F.when(grown, p % 7).otherwise(0), s % 40 + F.when(grown, p % 13).otherwise(0), F.col("l_linestatus") == "O")
-    return base, target
+
+def entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Functions of each side: file, name, pos, first, last, cyc, cog, body, exported."""
+    rows = both_sides(spark, sf_dir)
+    return rows.filter("is_base").select("file", "name", "e.*"), rows.filter("not is_base").select("file", "name", "e.*")
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,14 +115,16 @@ def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, target = entities(spark, sf_dir)
-    return compare.match_entities(base, target, ["file", "name"], ["pos"], "body")
+    return compare.match_sides(both_sides(spark, sf_dir), ["file", "name"], ["pos"], "body")
 
 
 def function_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched functions with churn, status and metrics."""
+    """Matched functions with churn, status, metrics and what became of their name among the exports."""
+    named = Window.partitionBy("file", "name")
+    seen = lambda side: F.coalesce(F.bool_or(F.col(f"{side}.exported")).over(named), F.lit(False))
+    exported = F.when(seen("b") & ~seen("t"), "removed").when(seen("t") & ~seen("b"), "added").otherwise("unchanged")
     m = matched(spark, sf_dir).select(
-        "file", "name", "confidence", F.col("b.pos").alias("b_pos"), F.col("t.pos").alias("t_pos"),
+        "file", "name", "confidence", exported.alias("exported"), F.col("b.pos").alias("b_pos"), F.col("t.pos").alias("t_pos"),
         F.col("b.first").alias("b_first"), F.col("b.last").alias("b_last"), F.col("t.first").alias("t_first"), F.col("t.last").alias("t_last"),
         F.col("b.cyc").alias("cyclomatic_before"), F.col("t.cyc").alias("cyclomatic_after"), F.col("b.cog").alias("cognitive_before"), F.col("t.cog").alias("cognitive_after"),
     )
@@ -144,22 +151,16 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function changes with both assessments."""
-    base, target = entities(spark, sf_dir)
-    was = base.filter("exported").select(F.col("file").alias("path"), F.col("name"))
-    now = target.filter("exported").select(F.col("file").alias("path"), F.col("name"))
-    delta = compare.export_delta(was, now).withColumnRenamed("path", "file")
-    rows = function_changes(spark, sf_dir).join(order_files(spark, sf_dir), "file").join(delta, "file", "left")
+    rows = function_changes(spark, sf_dir).join(order_files(spark, sf_dir), "file")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    exported = F.when(F.array_contains("exports_removed", F.col("name")), "removed").when(F.array_contains("exports_added", F.col("name")), "added").otherwise("unchanged")
     rows = rows.withColumns(
         {
-            "exported": exported,
             "cognitive_delta": (zero("cognitive_after") - zero("cognitive_before")).cast("long"),
             "cyclomatic_delta": (zero("cyclomatic_after") - zero("cyclomatic_before")).cast("long"),
             "_cog": F.col("cognitive_after"),
             "_cyc": F.col("cyclomatic_after"),
         }
-    ).drop("exports_added", "exports_removed")
+    )
     rows = rows.withColumns({"cognitive_after": zero("_cog"), "cyclomatic_after": zero("_cyc"), "churned_lines": F.col("churn"), "match_confidence": F.col("confidence")})
     rows = rows.withColumns({"risk": scoring.risk(), "review_priority": scoring.review_priority()})
     side = F.when(F.col("t_pos").isNull(), F.concat(F.lit("base:"), F.col("b_first"))).otherwise(F.concat(F.lit("target:"), F.col("t_first")))

@@ -1,16 +1,20 @@
 """Two revisions of a Git repository as tables.
 
-Git is asked a fixed number of times, whatever the size of the change: raw
-diff, patch, numstat, and one batch for blobs. Parsing runs on the driver; the
-tables hold one row for each changed file, hunk or blob.
+Git is asked a fixed number of times for a comparison, whatever its size: raw
+diff, patch, numstat and two trees. Their output is parsed on the driver; the
+tables hold one row for each changed file, hunk or tree entry. Contents are read
+by tasks, one batch process each, so the driver holds none; the repository's
+folder must be there for them too.
 """
 
 from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ZERO = re.compile(r"^0+$")
@@ -140,6 +144,23 @@ def list_tree(root: str, commit: str) -> list[tuple[str, str]]:
     return sorted(rows)
 
 
+def tree(spark: SparkSession, root: str, commit: str) -> DataFrame:
+    """path and blob_id of a commit's files."""
+    return spark.createDataFrame(list_tree(root, commit), "path string, blob_id string")
+
+
+def blobs(root: str, ids: DataFrame) -> DataFrame:
+    """blob_id, state and content of each distinct id of ``ids`` (blob_id), read by one batch process a task and 256 ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                rows = load_blobs(root, b.column(0).slice(at, 256).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], names=["blob_id", "state", "content"])
+
+    return ids.select("blob_id").filter("blob_id is not null").distinct().mapInArrow(run, BLOB_SCHEMA)
+
+
 def inventory(spark: SparkSession, path: str, base: str, target: str) -> dict[str, DataFrame]:
     """Tables file_change, hunk, blob and tree of a comparison."""
     repo = Repository.open(path)
@@ -150,7 +171,7 @@ def inventory(spark: SparkSession, path: str, base: str, target: str) -> dict[st
     counts = parse_numstat(_git(repo.root, *common, "--numstat", "-z", a, b))
     # The base path of null sorts first, as none before some.
     files.sort(key=lambda f: (f["target_path"] or f["base_path"], f["base_path"] is not None, f["base_path"] or ""))
-    rows, lines, ids = [], [], []
+    rows, lines, ids = [], [], set()
     for ix, f in enumerate(files):
         key = f["target_path"] or f["base_path"]
         binary = key in counts and counts[key] is None
@@ -158,11 +179,11 @@ def inventory(spark: SparkSession, path: str, base: str, target: str) -> dict[st
         rows.append((ix, f["base_path"], f["target_path"], "binary" if binary else f["status"], f["old_blob_id"], f["new_blob_id"], sum(h["added_lines"] for h in own), sum(h["removed_lines"] for h in own)))
         lines += [(ix, k, *h.values()) for k, h in enumerate(own)]
         if not binary:
-            ids += [x for x in (f["old_blob_id"], f["new_blob_id"]) if x]
+            ids |= {x for x in (f["old_blob_id"], f["new_blob_id"]) if x}
     trees = [("base", *x) for x in list_tree(repo.root, a)] + [("target", *x) for x in list_tree(repo.root, b)]
     return {
         "file_change": spark.createDataFrame(rows, FILE_SCHEMA),
         "hunk": spark.createDataFrame(lines, HUNK_SCHEMA),
-        "blob": spark.createDataFrame(load_blobs(repo.root, ids), BLOB_SCHEMA),
+        "blob": blobs(repo.root, spark.createDataFrame([(x,) for x in sorted(ids)], "blob_id string")),
         "tree": spark.createDataFrame(trees, "side string, path string, blob_id string"),
     }
