@@ -110,7 +110,7 @@ def test_cycles_see_every_user(spark, tmp_path):
     rng, rows = random.Random(4), []
     for user in range(60):
         for k in range(rng.randrange(1, 5)):
-            rows.append((len(rows), f"2024-01-{rng.randrange(1, 31):02d} 00:00:00", user, rng.choice("abcd")))
+            rows.append((len(rows), f"2024-01-{rng.choice([1, rng.randrange(1, 31)]):02d} 00:00:00", user, rng.choice("abcd")))
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     events.write.parquet(str(tmp_path / "events.parquet"))
     links, by_user = {True: defaultdict(set), False: defaultdict(set)}, defaultdict(list)
@@ -119,7 +119,8 @@ def test_cycles_see_every_user(spark, tmp_path):
     for u, own in by_user.items():
         own.sort()
         for (ts, _, a), (_, _, b) in zip(own, own[1:]):
-            links[ts >= "2024-01-16"][f"{a}_{u % 6}"].add(f"{b}_{(u * 5 + 1) % 6}")
+            for early in {False, ts < "2024-01-01 02:00:00"}:
+                links[early][f"{a}_{u % 6}"].add(f"{b}_{(u * 5 + 1) % 6}")
 
     def brute(out):
         reach = {}
@@ -132,7 +133,7 @@ def test_cycles_see_every_user(spark, tmp_path):
             reach[x] = seen
         return {x: min(y for y in r if x in reach.get(y, ())) for x, r in reach.items() if x in r}
 
-    late, early = brute(links[True]), brute(links[False])
+    late, early = brute(links[False]), brute(links[True])
     got = {r.member: r.key for r in queries.cycles(spark, str(tmp_path)).collect()}
     assert got == late and len(late) > 3
     lists = [{k: ",".join(sorted(m for m in c if c[m] == k)) for k in set(c.values())} for c in (late, early)]

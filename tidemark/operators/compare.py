@@ -55,6 +55,12 @@ def line_delta(pairs: DataFrame) -> DataFrame:
     return pairs.select("id").join(totals, "id", "left").select("id", F.coalesce("added", F.lit(0)).cast("long").alias("added"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"))
 
 
+def inventory_summary(files: DataFrame) -> DataFrame:
+    """files, added and removed lines, and binary_files of files (added, removed, is_binary)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return files.agg(F.count("*").alias("files"), total("added"), total("removed"), F.count_if("is_binary").alias("binary_files"))
+
+
 def match_entities(base: DataFrame, target: DataFrame, key: list[str], order: list[str], body: str) -> DataFrame:
     """Pair entities of equal key across two sides: key, b, t (structs or null), confidence."""
     columns = [c for c in base.columns if c not in key]

@@ -67,21 +67,21 @@ def collapse(nodes: DataFrame, edges: DataFrame, role: str, members: DataFrame)
 
     nodes: id, kind, path, status, depth, is_root, area, size; edges: from_id,
     relation, to_id, status. A group has its members' status and area where
-    they share one, else unchanged and none; edges inside it go. Merged edges
-    that differ in status are unchanged.
+    they share one, else unchanged and none; edges inside it go. Of edges that
+    become one the first in edge order stays.
     """
     group_id = f"group:{role}"
     chosen = nodes.filter("not is_root").join(members.select("id").distinct(), "id", "left_semi")
-    group = chosen.agg(F.count("*").alias("size"), F.min("depth").alias("depth"), F.collect_set("status").alias("s"), F.collect_set("area").alias("a")).filter("size >= 2")
+    group = chosen.agg(F.count("*").alias("size"), F.min("depth").alias("depth"), F.count_distinct("status").alias("s"), F.min("status").alias("status"), F.count_distinct("area").alias("a"), F.min("area").alias("area")).filter("size >= 2")
     group = group.select(
-        F.lit(group_id).alias("id"), F.lit("group").alias("kind"), F.lit("").alias("path"), F.when(F.size("s") == 1, F.col("s")[0]).otherwise("unchanged").alias("status"), "depth", F.lit(False).alias("is_root"), F.when(F.size("a") == 1, F.col("a")[0]).otherwise("").alias("area"), "size"
+        F.lit(group_id).alias("id"), F.lit("group").alias("kind"), F.lit("").alias("path"), F.when(F.col("s") == 1, F.col("status")).otherwise("unchanged").alias("status"), "depth", F.lit(False).alias("is_root"), F.when(F.col("a") == 1, F.col("area")).otherwise("").alias("area"), "size"
     )
     gone = chosen.select("id").join(F.broadcast(group.select(F.col("id").alias("g"))))
     left = nodes.join(gone.select("id"), "id", "left_anti").select("id", "kind", "path", "status", "depth", "is_root", "area", "size")
+    edges = edges.withColumn("old", F.struct("from_id", rank_of(F.col("relation"), RELATIONS), "to_id"))
     for end in ("from_id", "to_id"):
         edges = edges.join(gone.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("g", end)).drop("g")
-    merged = edges.filter("not (from_id = to_id and from_id like 'group:%')").groupBy("from_id", "relation", "to_id").agg(F.collect_set("status").alias("s"))
-    merged = merged.select("from_id", "relation", "to_id", F.when(F.size("s") == 1, F.col("s")[0]).otherwise("unchanged").alias("status"))
+    merged = edges.filter("not (from_id = to_id and from_id like 'group:%')").groupBy("from_id", "relation", "to_id").agg(F.min_by("status", "old").alias("status"))
     return left.unionByName(group), merged
 
 
@@ -118,6 +118,7 @@ def introduced_cycles(base: DataFrame, target: DataFrame) -> DataFrame:
 SIGNALS = (
     ("many_callers", "callers", 3),
     ("many_dependencies", "dependencies", 3),
+    ("converges_and_branches", "both_sides", 2),
     ("crosses_areas", "areas", 2),
     ("changed_on_both_sides", "changed_both", 1),
     ("multiple_levels", "levels", 2),
@@ -125,10 +126,12 @@ SIGNALS = (
 
 
 def measures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per root: callers, dependencies, areas and levels of changed edges, and whether both sides changed.
+    """Per root: callers, dependencies, areas and levels of changed edges, whether both sides changed, nodes, and the highest degree.
 
     nodes: root, id, area, depth; edges: root, from_id, to_id, status, seen from the root.
     """
+    degrees = [edges.groupBy("root", end).agg(F.count("*").alias("n")) for end in ("from_id", "to_id")]
+    degree = degrees[0].select("root", "n").union(degrees[1].select("root", "n")).groupBy("root").agg(F.max("n").alias("degree"))
     changed = F.col("status") != "unchanged"
     at_root = edges.groupBy("root").agg(
         F.count_if(F.col("to_id") == F.col("root")).alias("callers"),
@@ -138,12 +141,15 @@ def measures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     ends = edges.filter(changed).select("root", F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
     levels = ends.join(nodes, ["root", "id"]).groupBy("root").agg(F.count_distinct("depth").alias("levels"))
-    areas = nodes.groupBy("root").agg(F.count_distinct("area").alias("areas"))
-    rows = areas.join(at_root, "root", "left").join(levels, "root", "left").na.fill(0)
+    areas = nodes.groupBy("root").agg(F.count_distinct("area").alias("areas"), F.count_distinct("id").alias("nodes"))
+    rows = areas.join(at_root, "root", "left").join(levels, "root", "left").join(degree, "root", "left").na.fill(0).withColumn("both_sides", F.least("callers", "dependencies"))
     return rows.withColumn("changed_both", ((F.col("changed_in") > 0) & (F.col("changed_out") > 0)).cast("int"))
 
 
 def recommendation(rows: DataFrame) -> DataFrame:
-    """Adds ``codes``: the signals reached, in report order, joined by commas."""
+    """Adds ``codes``: the signals reached, in report order, joined by commas.
+
+    Fewer than four nodes without a branch are better read as lines: that signal then stands alone.
+    """
     codes = F.filter(F.array(*[F.when(F.col(c) >= n, F.lit(code)) for code, c, n in SIGNALS]), lambda x: x.isNotNull())
-    return rows.withColumn("codes", F.array_join(codes, ","))
+    return rows.withColumn("codes", F.when((F.col("nodes") < 4) & (F.col("degree") <= 1), "linear_and_small").otherwise(F.array_join(codes, ",")))

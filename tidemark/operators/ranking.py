@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import level_of_rank, level_rank
@@ -52,6 +52,17 @@ def file_order() -> list[Column]:
     return [level_rank(F.col("priority_level")).desc(), level_rank(F.col("risk_level")).desc(), F.col("lines").desc(), F.col("path")]
 
 
+def inventory_order() -> list[Column]:
+    """Files by the path they have now, else had; one without an earlier path goes first."""
+    return [F.coalesce("target_path", "base_path"), F.col("base_path").asc_nulls_first()]
+
+
+def placed(rows: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """Adds ``place`` from 1 within ``by``; without it ``rows`` is a page, ranked in one place."""
+    spec = Window.partitionBy(*by) if by else Window.partitionBy()
+    return rows.withColumn("place", F.row_number().over(spec.orderBy(*order)))
+
+
 def function_order(tie: list[str]) -> list[Column]:
     """Priority, risk, complexity gained, churn, then path and symbol; ``tie`` makes the order total."""
     return [F.col("priority_score").desc(), F.col("risk_score").desc(), F.col("cognitive_delta").desc(), F.col("churn").desc(), F.col("path"), F.col("symbol"), *[F.col(c) for c in tie]]

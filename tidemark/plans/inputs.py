@@ -79,11 +79,16 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edges(rows.filter("side = 'base'"), rows.filter("side = 'target'"), ["importer", "target"])
 
 
-def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions of both sides in one pass over the order lines, dealt by file: file, name, is_base, e (pos, first, last, cyc, cog, body, exported)."""
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their place in the order: file, name, pos, loc and columns of the line."""
     order = Window.partitionBy("file").orderBy("name", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
     li = read(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "file", "l_linenumber": "name"})
-    li = li.select("file", "name", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("pos"), F.col("l_quantity").cast("int").alias("loc"))
+    return li.select("file", "name", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("pos"), F.col("l_quantity").cast("int").alias("loc"))
+
+
+def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of both sides in one pass over the order lines, dealt by file: file, name, is_base, e (pos, first, last, cyc, cog, body, exported)."""
+    li = order_lines(spark, sf_dir)
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     grown = s % 4 == 0
 

@@ -348,7 +348,7 @@ _view("target", "('added', 'unchanged')")
 
 _STEPS = {"downstream": "SELECT importer AS a, target AS b FROM edges", "upstream": "SELECT target AS a, importer AS b FROM edges"}
 _STEPS["both"] = f"{_STEPS['downstream']} UNION {_STEPS['upstream']}"
-_ROOTS = ("src/d4.ts", "src/d8.ts", "src/d5.tsx")
+_ROOTS = ("src/d4.ts", "src/d17.tsx", "src/d14/index.ts")
 
 
 def _reached(spark, found, direction, depth):
@@ -374,7 +374,7 @@ for _d in ("both", "upstream", "downstream"):
 
 @query(
     sql(
-        f"""WITH st AS ({_STEPS["upstream"]}), w AS (SELECT 'src/d8.ts' AS id, 0 AS depth UNION ALL SELECT st.b, w.depth + 1 FROM w JOIN st ON st.a = w.id WHERE w.depth < 2)
+        f"""WITH st AS ({_STEPS["upstream"]}), w AS (SELECT 'src/d17.tsx' AS id, 0 AS depth UNION ALL SELECT st.b, w.depth + 1 FROM w JOIN st ON st.a = w.id WHERE w.depth < 2)
 SELECT id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY id HAVING min(depth) > 0""",
         "imports",
         recursive=True,
@@ -382,7 +382,7 @@ SELECT id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY id HAVING min(depth)
 )
 def reach_importers(spark, sf_dir):
     found = inputs.import_edges(spark, sf_dir).select(F.col("importer").alias("from_id"), F.col("target").alias("to_id"))
-    return graph.reachable_importers(found, spark.createDataFrame([("src/d8.ts",)], "id string"))
+    return graph.reachable_importers(found, spark.createDataFrame([("src/d17.tsx",)], "id string"))
 
 
 @query(
@@ -519,8 +519,8 @@ def group_collapse_tests(spark, sf_dir):
 
 @query(
     sql(
-        f"""{_GRAPH}, {_MEMBERS}, r AS (SELECT CASE WHEN n >= 2 AND importer IN (SELECT id FROM g) THEN 'group:tests' ELSE importer END AS from_id, CASE WHEN n >= 2 AND target IN (SELECT id FROM g) THEN 'group:tests' ELSE target END AS to_id, status FROM edges, gn)
-SELECT from_id, to_id, CASE WHEN count(DISTINCT status) = 1 THEN min(status) ELSE 'unchanged' END AS status FROM r WHERE NOT (from_id = to_id AND from_id = 'group:tests') GROUP BY ALL""",
+        f"""{_GRAPH}, {_MEMBERS}, r AS (SELECT CASE WHEN n >= 2 AND importer IN (SELECT id FROM g) THEN 'group:tests' ELSE importer END AS from_id, CASE WHEN n >= 2 AND target IN (SELECT id FROM g) THEN 'group:tests' ELSE target END AS to_id, status, importer, target FROM edges, gn)
+SELECT from_id, to_id, arg_min(status, importer || '|' || target) AS status FROM r WHERE NOT (from_id = to_id AND from_id = 'group:tests') GROUP BY from_id, to_id""",
         "imports",
         recursive=True,
     )
@@ -531,36 +531,37 @@ def group_collapse_edges(spark, sf_dir):
     return graph.collapse(nodes, links, "tests", tests)[1].select("from_id", "to_id", "status")
 
 
-_STATES = """WITH x AS (SELECT event_type || '_' || (user_id % 6) AS a, user_id, ts, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) || '_' || ((user_id * 5 + 1) % 6) AS b FROM events WHERE user_id % 17 = 0),
-s AS (SELECT DISTINCT a, b, ts >= TIMESTAMP '2024-01-16' AS late FROM x WHERE b IS NOT NULL)"""
+_STATES = """WITH x AS (SELECT event_type || '_' || (user_id % 6) AS a, user_id, ts, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) || '_' || ((user_id * 5 + 1) % 6) AS b FROM events),
+t AS (SELECT a, b, bool_or(ts < TIMESTAMP '2024-01-01 02:00:00') AS early FROM x WHERE b IS NOT NULL GROUP BY a, b), s AS (SELECT a, b, 'target' AS side FROM t UNION ALL SELECT a, b, 'base' FROM t WHERE early)"""
 
 
 def _transitions(spark, sf_dir):
+    """Distinct steps of any user from an event to the next (from_id, to_id), and whether the first two hours have them."""
     from pyspark.sql import Window
 
     e = inputs.read(spark, sf_dir, "events")
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     u = F.col("user_id")
-    rows = e.select(F.concat("event_type", F.lit("_"), u % 6).alias("from_id"), F.concat(after, F.lit("_"), (u * 5 + 1) % 6).alias("to_id"), (F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).alias("late"))
-    return rows.filter("to_id is not null").distinct()
+    rows = e.select(F.concat("event_type", F.lit("_"), u % 6).alias("from_id"), F.concat(after, F.lit("_"), (u * 5 + 1) % 6).alias("to_id"), (F.col("ts") < F.lit("2024-01-01 02:00:00").cast("timestamp_ntz")).alias("early"))
+    return rows.filter("to_id is not null").groupBy("from_id", "to_id").agg(F.bool_or("early").alias("early"))
 
 
-_CYCLES = "SELECT r.late, r.a AS member, min(r.b) AS key FROM r JOIN r q ON q.late = r.late AND q.a = r.b AND q.b = r.a GROUP BY r.late, r.a"
-_REACH = "r AS (SELECT a, b, late FROM s UNION SELECT r.a, s.b, r.late FROM r JOIN s ON s.a = r.b AND s.late = r.late)"
+_CYCLES = "SELECT r.side, r.a AS member, min(r.b) AS key FROM r JOIN r q ON q.side = r.side AND q.a = r.b AND q.b = r.a GROUP BY r.side, r.a"
+_REACH = "r AS (SELECT a, b, side FROM s UNION SELECT r.a, s.b, r.side FROM r JOIN s ON s.a = r.b AND s.side = r.side)"
 
 
-@query(f"WITH RECURSIVE {_STATES[5:]}, {_REACH} SELECT key, member FROM ({_CYCLES}) WHERE late")
+@query(f"WITH RECURSIVE {_STATES[5:]}, {_REACH} SELECT key, member FROM ({_CYCLES}) WHERE side = 'target'")
 def cycles(spark, sf_dir):
-    return graph.cycles(_transitions(spark, sf_dir).filter("late").select("from_id", "to_id"))
+    return graph.cycles(_transitions(spark, sf_dir).select("from_id", "to_id"))
 
 
 @query(
-    f"""WITH RECURSIVE {_STATES[5:]}, {_REACH}, c AS ({_CYCLES}), l AS (SELECT late, key, string_agg(member, ',' ORDER BY member) AS members FROM c GROUP BY late, key)
-SELECT key, members FROM l WHERE late AND members NOT IN (SELECT members FROM l WHERE NOT late)"""
+    f"""WITH RECURSIVE {_STATES[5:]}, {_REACH}, c AS ({_CYCLES}), l AS (SELECT side, key, string_agg(member, ',' ORDER BY member) AS members FROM c GROUP BY side, key)
+SELECT key, members FROM l WHERE side = 'target' AND members NOT IN (SELECT members FROM l WHERE side = 'base')"""
 )
 def cycle_introduced(spark, sf_dir):
     rows = durable(_transitions(spark, sf_dir))
-    return graph.introduced_cycles(rows.filter("not late").select("from_id", "to_id"), rows.filter("late").select("from_id", "to_id"))
+    return graph.introduced_cycles(rows.filter("early").select("from_id", "to_id"), rows.select("from_id", "to_id"))
 
 
 @query(
@@ -568,11 +569,12 @@ def cycle_introduced(spark, sf_dir):
         """WITH p AS (SELECT importer AS root, importer AS id FROM edges UNION SELECT target, target FROM edges UNION SELECT importer, target FROM edges UNION SELECT target, importer FROM edges),
 nd AS (SELECT root, id, CASE WHEN NOT contains(id, '/') THEN '<root>' ELSE split_part(id, '/', 1) END AS area, CASE WHEN root = id THEN 0 ELSE 1 END AS depth FROM p),
 se AS (SELECT importer AS root, importer AS a, target AS b, status FROM edges UNION SELECT target, importer, target, status FROM edges),
-a AS (SELECT root, count(DISTINCT area) AS areas FROM nd GROUP BY root),
+a AS (SELECT root, count(DISTINCT area) AS areas, count(DISTINCT id) AS nodes FROM nd GROUP BY root),
+dg AS (SELECT root, max(n) AS degree FROM (SELECT root, a, count(*) AS n FROM se GROUP BY root, a UNION ALL SELECT root, b, count(*) FROM se GROUP BY root, b) GROUP BY root),
 b AS (SELECT root, count(*) FILTER (b = root) AS callers, count(*) FILTER (a = root) AS dependencies, count(*) FILTER (b = root AND status <> 'unchanged') AS ci, count(*) FILTER (a = root AND status <> 'unchanged') AS co FROM se GROUP BY root),
 l AS (SELECT nd.root, count(DISTINCT depth) AS levels FROM nd JOIN (SELECT root, a AS id FROM se WHERE status <> 'unchanged' UNION SELECT root, b FROM se WHERE status <> 'unchanged') e ON e.root = nd.root AND e.id = nd.id GROUP BY nd.root)
-SELECT a.root, callers, dependencies, areas, coalesce(levels, 0) AS levels, concat_ws(',', CASE WHEN callers >= 3 THEN 'many_callers' END, CASE WHEN dependencies >= 3 THEN 'many_dependencies' END, CASE WHEN areas >= 2 THEN 'crosses_areas' END,
-CASE WHEN ci > 0 AND co > 0 THEN 'changed_on_both_sides' END, CASE WHEN levels >= 2 THEN 'multiple_levels' END) AS codes FROM a JOIN b ON b.root = a.root LEFT JOIN l ON l.root = a.root""",
+SELECT a.root, callers, dependencies, areas, coalesce(levels, 0) AS levels, CASE WHEN nodes < 4 AND degree <= 1 THEN 'linear_and_small' ELSE concat_ws(',', CASE WHEN callers >= 3 THEN 'many_callers' END, CASE WHEN dependencies >= 3 THEN 'many_dependencies' END, CASE WHEN least(callers, dependencies) >= 2 THEN 'converges_and_branches' END, CASE WHEN areas >= 2 THEN 'crosses_areas' END,
+CASE WHEN ci > 0 AND co > 0 THEN 'changed_on_both_sides' END, CASE WHEN levels >= 2 THEN 'multiple_levels' END) END AS codes FROM a JOIN b ON b.root = a.root JOIN dg ON dg.root = a.root LEFT JOIN l ON l.root = a.root""",
         "imports",
     )
 )
