@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import chat, embeddings
+from tidemark.llm import components as components_module
 from tidemark.llm.components import components
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -90,6 +91,43 @@ def test_vectors(spark, monkeypatch):
         assert (r.n_links, r.component_id, r.kept) == (*expected[r.vec_id], expected[r.vec_id][1] == r.vec_id), r.vec_id
 
 
+def test_vectors_in_many_cells(spark):
+    """Recall against brute force beyond one cell: evenly spread vectors with pairs from the threshold up, and a dense group of a third of the rows."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(2400, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    pairs = base[:800] + rng.normal(size=(800, 32)) * (rng.random((800, 1)) * 0.08)
+    dense = base[5] + rng.normal(size=(1600, 32)) * 0.03
+    x = np.concatenate([base, pairs, dense]).astype(np.float32)
+    rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), whole=500).collect()}
+    counts = np.array([got[i] for i in range(len(x))])
+    assert (counts <= linked.sum(axis=1)).all()
+    assert counts[-1600:].sum() == linked[-1600:].sum()
+    apart = np.arange(len(x)) < 3200
+    assert counts[apart].sum() >= 0.95 * linked[apart].sum()
+
+
+def test_centres_of_a_dense_group_merge():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(500, 8)), np.ones((1500, 8)) + rng.normal(size=(1500, 8)) * 0.02])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = embeddings.spherical_kmeans(x, 60, merge=0.9)
+    assert ((centres @ (np.ones(8) / 8**0.5)) > 0.97).sum() == 1 and np.allclose(np.linalg.norm(centres, axis=1), 1)
+
+
+def test_vectors_without_or_with_equal_ids(spark):
+    """Rows without vec_id are kept and link with nothing; rows that share one count as vectors of one node; further columns are left out."""
+    one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, one), (None, one), (3, one), (3, one), (4, [1.0, 0.01, 0.0]), (5, two)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as node", "2 as weight", "'x' as digest", "7 as n_links")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(frame).collect()), key=str)
+    assert got == sorted([(None, 0, None, True)] * 2 + [(3, 2, 3, True)] * 2 + [(4, 2, 3, False), (5, 0, 5, True)], key=str)
+
+
 def test_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_vectors(spark.createDataFrame([], schema)).count() == 0
@@ -97,7 +135,12 @@ def test_no_vectors(spark):
     assert (r.n_links, r.component_id, r.kept) == (0, 1, True)
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (100, 90)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90}
+def test_components(spark, monkeypatch):
+    """The same classes with hubs broadcast apart as with all values broadcast."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (100, 90)] + [(200, 201 + i) for i in range(60)] + [(260, 199)]
+    expected = {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90, 199: 199, **{i: 199 for i in range(200, 261)}}
+    frame = spark.createDataFrame(edges, "u long, v long")
+    assert {r.node: r.component for r in components(frame).collect()} == expected
+    monkeypatch.setattr(components_module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components_module, "HOT_SHARE", 1 / 10)
+    assert {r.node: r.component for r in components(frame).collect()} == expected
