@@ -8,15 +8,21 @@ hash, which shuffles them globally and deals copies of a hot source evenly.
 
 A null source is a source of its own. Null texts have no characters; a source
 of none has rate 0. Rows that share a doc_id draw the same count; null doc_ids
-draw one together. Ties of the second hash are broken by doc_id and copy.
+draw one together. Ties of the second hash are broken by doc_id and copy; rows that
+share both are alike but for their other columns, in no fixed order. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 SEED, ALPHA = 17, 0.7
+#: Probabilities of all sources that are broadcast at most: 16 MB.
+BROADCAST_NUMBERS = 2_000_000
 
 
 def drawn(*parts: Column | str) -> Column:
@@ -25,17 +31,19 @@ def drawn(*parts: Column | str) -> Column:
     return (F.conv(F.substring(text, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def cumulative(rate: Column) -> Column:
-    """Cumulative Poisson probabilities of 0, 1, ... as far as a number in (0, 1) of 52 bits can tell."""
-    top = (F.ceil(rate + 12 * F.sqrt(rate)) + 40).cast("int")
-    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log = F.when(k == 0, -rate).otherwise(acc["log"] + F.ln(rate) - F.ln(F.greatest(k, F.lit(1)).cast("double")))
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
+def cumulative(rates: DataFrame) -> DataFrame:
+    """``rates`` (source, rate) with ``cdf``: cumulative Poisson probabilities of 0, 1, ... as far as a number in (0, 1) of 52 bits can tell.
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), top), start, step, lambda a: a["all"])).otherwise(F.array(F.lit(1.0)))
+    Probabilities are rows that a window sums up, so the work follows the rate.
+    """
+    top = (F.ceil(F.col("rate") + 12 * F.sqrt("rate")) + 40).cast("int")
+    ks = rates.filter("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    up = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log = F.sum(F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.ln("rate") - F.ln(F.greatest("k", F.lit(1)).cast("double")))).over(up)
+    total = ks.withColumn("log", log).withColumn("total", F.sum(F.exp("log")).over(up))
+    tables = total.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "total"))), lambda x: x.total).alias("cdf"))
+    # A source of no rate draws 0.
+    return rates.join(tables.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("cdf", F.array(F.lit(1.0))).alias("cdf"))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA) -> DataFrame:
@@ -57,19 +65,30 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha
 
 
 def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, alpha: float, seed: int) -> DataFrame:
-    tables = rates(docs, weights, alpha).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_cdf"))
+    tables = durable(cumulative(durable(rates(docs, weights, alpha))).withColumnsRenamed({"source": "_source", "cdf": "_cdf"}))
+    # Few sources are broadcast, which leaves the texts of a hot one where they are; many are joined, and none is hot for long:
+    # the adaptive plan splits it, as both sides of the join are shuffled as they stand.
+    small = tables.agg(F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()[0] <= BROADCAST_NUMBERS
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"))
-    rows = rows.join(tables, F.col("_of").eqNullSafe(F.col("_source")))
+    rows = rows.join(F.broadcast(tables) if small else tables, F.col("_of").eqNullSafe(F.col("_source")))
     u = drawn(F.lit(str(seed)), "_id")
-    rows = rows.withColumn("n_copies", F.transform(F.array(u), lambda v: F.size(F.filter("_cdf", lambda c: c <= v)))[0].cast("long")).filter("n_copies > 0")
-    rows = rows.select("_row", "_id", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    return rows.withColumn("shuffle_key", key).orderBy("shuffle_key", "_id", "copy")
+    rows = rows.withColumn("_n", F.transform(F.array(u), lambda v: F.size(F.filter("_cdf", lambda c: c <= v)))[0].cast("long")).filter("_n > 0")
+    rows = rows.select("_row", "_id", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("_copy").cast("string")))
+    return rows.withColumn("_key", key).orderBy("_key", "_id", "_copy")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The columns of ``docs``, then copy (from 1), n_copies and shuffle_key; globally shuffled."""
-    return _mixed(docs, weights, alpha, seed).select("_row.*", "copy", "n_copies", "shuffle_key")
+    """The columns of ``docs``, then copy (from 1), n_copies and shuffle_key; globally shuffled.
+
+    Where ``docs`` has a column of such a name, the new one gets an underscore more.
+    """
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("copy", "n_copies", "shuffle_key"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    return _mixed(docs, weights, alpha, seed).select("_row.*", F.col("_copy").alias(names[0]), F.col("_n").alias(names[1]), F.col("_key").alias(names[2]))
 
 
 def mixed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
