@@ -10,7 +10,8 @@ the alphabet breaks ties.
 Learning counts n-grams over all learning texts. An n-gram is of a language if
 it makes up ``MIN_SHARE`` of its n-grams and ``MIN_RATIO`` of the share that it
 has where it is commonest, so the model has at most ``1 / MIN_SHARE`` n-grams a
-language and is the same size for any corpus.
+language and is the same size for any corpus. Where so many languages would
+make filters of more than ``MODEL_BYTES``, the share rises until they fit.
 
 Null texts and texts without letters are ``und`` with score 0. Texts with
 letters none of whose n-grams are known get the commonest language, score 0.
@@ -36,6 +37,15 @@ from .common import durable
 MIN_SHARE, MIN_RATIO, HASHES, SLOTS_PER_GRAM = 1e-5, 0.25, 3, 12
 SIZES = (2, 3)
 UNKNOWN = "und"
+#: Bytes of the filters at most: what is broadcast.
+MODEL_BYTES = 1 << 27
+
+
+def least_share(n_langs: int) -> float:
+    """The share that an n-gram needs in its language: at most ``1 / share`` have it, so all fit in MODEL_BYTES."""
+    planes = max(1, -(-n_langs // 64))
+    # Slots are rounded up to a power of two.
+    return max(MIN_SHARE, n_langs * 2 * 8 * planes * SLOTS_PER_GRAM / MODEL_BYTES)
 
 
 def letters(token: str) -> list[str]:
@@ -131,11 +141,11 @@ def _places(gram: str, m: int) -> list[int]:
 
 
 def learn(docs: DataFrame) -> Model:
-    """A model from all rows of ``docs`` (lang, text). The driver gets at most ``1 / MIN_SHARE`` rows a language."""
+    """A model from all rows of ``docs`` (lang, text). The driver gets at most ``1 / least_share`` rows a language."""
     counted = durable(count_grams(docs))
     sizes = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counted.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= MIN_SHARE)
+    shares = counted.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= least_share(len(sizes)))
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
     rows = shares.join(most, "gram").filter(F.col("share") >= MIN_RATIO * F.col("most")).select("lang", "gram").collect()
     return Model.build([(r.lang, r.gram) for r in rows], sizes)
