@@ -39,6 +39,28 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Independent of the windows' texts: each turn's place in them, counted by window functions.
+OP4_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -1, k, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+a AS (SELECT *, row_number() OVER o AS nth, length('{chat.START}{chat.BODY}{chat.END}' || replace(replace(role, '\\', '\\\\'), '<|', '<\\|') || replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS chars,
+  role = 'system' AND count(*) FILTER (role = 'system') OVER o = 1 AS opening FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, CASE WHEN opening THEN 0 ELSE (chars + {chat.CHARS_PER_TOKEN - 1}) // {chat.CHARS_PER_TOKEN} END AS tokens, coalesce(max(CASE WHEN opening THEN (chars + {chat.CHARS_PER_TOKEN - 1}) // {chat.CHARS_PER_TOKEN} END) OVER (PARTITION BY conv_id), 0) AS system FROM a),
+c AS (SELECT *, greatest({chat.BUDGET} - system, 1) AS stride, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS began FROM b),
+d AS (SELECT *, began // stride AS bucket, CASE WHEN tokens > 0 AND (began + tokens - 1) // stride > began // stride THEN nth ELSE 0 END AS alone FROM c),
+e AS (SELECT *, lead(bucket) OVER o AS nb, lead(alone) OVER o AS na, lag(bucket) OVER o AS pb, lag(alone) OVER o AS pa FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY nth)),
+f AS (SELECT * REPLACE (CASE WHEN opening THEN coalesce(nb, pb, bucket) ELSE bucket END AS bucket, CASE WHEN opening THEN coalesce(na, pa, alone) ELSE alone END AS alone) FROM e),
+g AS (SELECT *, CASE WHEN bucket = lag(bucket) OVER o AND alone = lag(alone) OVER o THEN 0 ELSE 1 END AS fresh FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY nth)),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS span FROM g),
+i AS (SELECT *, max(span) OVER (PARTITION BY conv_id) AS last, sum(tokens) OVER (PARTITION BY conv_id, span) AS own, sum(tokens) OVER (PARTITION BY conv_id, span ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM h),
+j AS (SELECT *, {", ".join(f"lead(span, {k}) OVER o AS s{k}, lead(own, {k}) OVER o AS o{k}" for k in range(1, chat.HISTORY + 1))} FROM i WINDOW o AS (PARTITION BY conv_id ORDER BY nth)),
+k AS (SELECT *, CASE {" ".join(f"WHEN s{k} <> span THEN o{k}" for k in range(1, chat.HISTORY + 1))} END AS after FROM j),
+l AS (SELECT *, 1 + CASE WHEN opening THEN last - span WHEN system + rest + after <= {chat.BUDGET} THEN 1 ELSE 0 END AS times FROM k)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars * times) AS BIGINT) AS formatted_chars FROM l GROUP BY conv_id
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base = quality.verdict(quality.BASE)
@@ -123,6 +145,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.duckdb_sql(),
     "op3_source_mixing": mixing.DUCKDB_SQL,
+    "op4_chat_format": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
     "op7_embedding_dedup": OP7_SQL,
 }
