@@ -105,6 +105,23 @@ def test_cycles_of_any_length(spark):
     assert got == {f"r{k:03d}": "r000" for k in range(300)}
 
 
+def test_cycles_alike_in_place_and_by_colors(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = {(f"a{rng.randrange(25):02d}", f"a{rng.randrange(25):02d}") for _ in range(30)} | {(f"b{k}", f"b{(k + 1) % 7}") for k in range(7)} | {("c", "c"), ("d", "e")}
+    frame = spark.createDataFrame(sorted(pairs), "from_id string, to_id string")
+    reach = {a: {a2 for a2 in [b for x, b in pairs if x == a]} for a, _ in pairs}
+    while True:
+        more = {a: r | {y for x in r for y in reach.get(x, ())} for a, r in reach.items()}
+        if more == reach:
+            break
+        reach = more
+    expected = {a: min(x for x in r if a in reach.get(x, ())) for a, r in reach.items() if a in r}
+    assert {r.member: r.key for r in graph.cycles(frame).collect()} == expected and len(set(expected.values())) >= 3
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    assert {r.member: r.key for r in graph.cycles(frame).collect()} == expected
+    assert graph.cycles(spark.createDataFrame([], "from_id string, to_id string")).count() == 0
+
+
 def test_cycles_see_every_user(spark, tmp_path):
     """Transitions of all users count; brute force walks each state's successors."""
     rng, rows = random.Random(4), []

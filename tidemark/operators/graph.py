@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .durable import durable
 
 # The order of relations and of resolutions, and what collapses into groups, in order.
@@ -85,27 +87,111 @@ def collapse(nodes: DataFrame, edges: DataFrame, role: str, members: DataFrame)
     return left.unionByName(group), merged
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """Distinct (from_id, to_id) reachable over ``edges``: each round doubles the length of paths.
-
-    Each round is checkpointed, so plans stay small; rounds end when nothing is new.
-    """
-    now = durable(edges.select("from_id", "to_id").distinct())
-    size = now.count()
+#: Edges that one task may hold: pieces up to this size are solved in place.
+LOCAL_EDGES = 1_000_000
+
+
+def strong_classes(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(key, member) of each class of nodes that reach one another over ``pairs``: one walk in depth, without recursion."""
+    onward: dict[str, list[str]] = {}
+    for a, b in pairs:
+        onward.setdefault(a, []).append(b)
+        onward.setdefault(b, [])
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    on_stack: set[str] = set()
+    out = []
+    for start in onward:
+        todo = [(start, 0)] if start not in seen else []
+        while todo:
+            node, k = todo.pop()
+            if k == 0:
+                seen[node] = low[node] = len(seen)
+                stack.append(node)
+                on_stack.add(node)
+            else:
+                low[node] = min(low[node], low[onward[node][k - 1]]) if onward[node][k - 1] in on_stack else low[node]
+            for i in range(k, len(onward[node])):
+                after = onward[node][i]
+                if after not in seen:
+                    todo += [(node, i + 1), (after, 0)]
+                    break
+                if after in on_stack:
+                    low[node] = min(low[node], seen[after])
+            else:
+                if low[node] == seen[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(stack.pop())
+                    on_stack.difference_update(members)
+                    if len(members) > 1 or node in onward[node]:
+                        out += [(min(members), m) for m in members]
+    return out
+
+
+def _local_classes(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(strong_classes(list(zip(rows.from_id, rows.to_id))), columns=["key", "member"])
+
+
+def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, color) least over everything that reaches a node, from ``start`` (id, color), by rounds until nothing changes."""
+    now = durable(start)
     while True:
-        step = now.select("from_id", F.col("to_id").alias("via")).join(now.select(F.col("from_id").alias("via"), "to_id"), "via").select("from_id", "to_id")
-        now = durable(now.union(step).distinct())
-        before, size = size, now.count()
-        if size == before:
+        met = edges.join(now.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("color").alias("met"))
+        grown = durable(now.join(met, "id", "left").select("id", F.least("color", F.coalesce("met", "color")).alias("color"), (F.col("met") < F.col("color")).alias("moved")))
+        now = grown.select("id", "color")
+        if not grown.filter("moved").limit(1).count():
             return now
 
 
+def _colored_classes(edges: DataFrame) -> DataFrame:
+    """(key, member) of classes in edges too many for a task.
+
+    Nodes take the least node that reaches them as their color; what reaches
+    that node back within its color is its class, and goes; then again. Rows
+    grow with the edges, rounds with the longest of shortest paths.
+    """
+    found, left = None, durable(edges)
+    while left.limit(1).count():
+        nodes = left.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+        colors = _spread(left, nodes.select("id", F.col("id").alias("color")))
+        by = lambda end: colors.withColumnsRenamed({"id": end, "color": f"{end}_color"})
+        inside = durable(left.join(by("from_id"), "from_id").join(by("to_id"), "to_id").filter("from_id_color = to_id_color").select("from_id", "to_id", F.col("to_id_color").alias("color")))
+        # Backwards from each color's own node, over edges of that color.
+        reached = frontier = durable(colors.filter("id = color"))
+        while frontier.limit(1).count():
+            back = inside.join(frontier.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id"), "color").distinct()
+            frontier = durable(back.join(reached.select("id"), "id", "left_anti"))
+            reached = durable(reached.union(frontier))
+        looped = inside.filter("from_id = to_id").select(F.col("from_id").alias("id")).distinct().withColumn("loop", F.lit(True))
+        sizes = reached.groupBy("color").agg(F.count("*").alias("n"))
+        classes = reached.join(sizes, "color").join(looped, "id", "left").filter("n > 1 or loop").select(F.col("color").alias("key"), F.col("id").alias("member"))
+        found = classes if found is None else found.union(classes)
+        gone = reached.select("id")
+        left = durable(inside.select("from_id", "to_id").join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti"))
+    return found
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """key and member of each class of nodes that reach one another, self-loops included; key is the least member."""
-    reach = closure(edges)
-    back = reach.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
-    mutual = reach.join(back, ["from_id", "to_id"], "left_semi")
-    return mutual.groupBy(F.col("from_id").alias("member")).agg(F.min("to_id").alias("key")).select("key", "member")
+    """key and member of each class of nodes that reach one another, self-loops included; key is the least member.
+
+    Edges fall into connected pieces first. Pieces of LOCAL_EDGES edges at most
+    share tasks that solve them in place; larger ones are colored by joins.
+    """
+    links = durable(edges.select("from_id", "to_id").distinct())
+    pieces = durable(components(links.select(F.col("from_id").alias("u"), F.col("to_id").alias("v"))))
+    named = links.join(pieces.withColumnRenamed("node", "from_id"), "from_id", "left").select("from_id", "to_id", F.coalesce("component", "from_id").alias("piece"))
+    sizes = named.groupBy("piece").agg(F.count("*").alias("n"))
+    large = durable(sizes.filter(F.col("n") > LOCAL_EDGES).select("piece"))
+    # Pieces over the bound are as few as all edges over the bound.
+    small = named.join(F.broadcast(large), "piece", "left_anti")
+    tasks = 1 + links.count() // max(LOCAL_EDGES // 4, 1)
+    local = small.groupBy(F.pmod(F.xxhash64("piece"), F.lit(tasks)).alias("task")).applyInPandas(_local_classes, "key string, member string")
+    if not large.limit(1).count():
+        return local
+    rest = _colored_classes(named.join(F.broadcast(large), "piece", "left_semi").select("from_id", "to_id"))
+    return local.union(rest) if rest is not None else local
 
 
 def introduced_cycles(base: DataFrame, target: DataFrame) -> DataFrame:
