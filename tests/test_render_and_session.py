@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from tidemark.plans import render, session
+from tidemark.plans import render, session, tools
+from tidemark.plans.answers import BadQuestion
 
 
 def node(key, path, status, label=None, kind="module"):
@@ -51,3 +52,27 @@ def test_cache_keeps_the_newest(spark):
     for k in (1, 2, 1, 3, 2):
         cache.get(k, build(k))
     assert built == [1, 2, 3, 2] and list(cache.held) == [3, 2]
+
+
+def test_tools():
+    def answer(method, repository, base, target, params):
+        if params.get("limit") == 0:
+            raise BadQuestion("no")
+        return {"data": [method, repository, base, target, params]}
+
+    server = tools.ToolServer(answer, "here")
+    ask = lambda method, **params: {"jsonrpc": "2.0", "id": 1, "method": method, "params": params}
+    call = lambda name, **arguments: ask("tools/call", name=name, arguments=arguments)
+    requests = [
+        ask("initialize", protocolVersion="2024-11-05"), {"jsonrpc": "2.0", "method": "notifications/initialized"}, ask("tools/list"), call("get_change_summary", base="a", target="b"), call("list_changed_files", base="a", target="b", limit=0),
+        call("get_function_change", base="a", target="b"), call("list_changed_files", base="a", target="b", depth=1), call("nope", base="a", target="b"), ask("nope"), ask("ping"),
+    ]
+    out = [json.loads(x) for x in server.serve([json.dumps(r) for r in requests] + ["{", "[]"])]
+    assert out[0]["result"]["protocolVersion"] == "2024-11-05" and len(out) == 11
+    listed = {t["name"]: t for t in out[1]["result"]["tools"]}
+    assert len(listed) == 6 and all(t["annotations"]["readOnlyHint"] for t in listed.values())
+    assert listed["get_function_change"]["inputSchema"]["required"] == ["base", "target", "function_id"] and "enum" in listed["list_changed_functions"]["inputSchema"]["properties"]["status"]
+    found = out[2]["result"]
+    assert found["structuredContent"] == {"data": ["get_change_summary", "here", "a", "b", {}]} == json.loads(found["content"][0]["text"]) and not found["isError"]
+    assert out[3]["result"]["isError"] and out[3]["result"]["structuredContent"]["error"]["code"] == "invalid_params"
+    assert [x["error"]["code"] for x in (out[4], out[5], out[6], out[7], out[9], out[10])] == [-32602, -32602, -32602, -32601, -32700, -32600] and out[8]["result"] == {}

@@ -1,4 +1,4 @@
-"""Command line: ``python -m tidemark BASE TARGET``, ``python -m tidemark graph BASE TARGET``, or ``--jsonl``.
+"""Command line: ``python -m tidemark BASE TARGET``, ``python -m tidemark graph BASE TARGET``, ``--jsonl`` or ``--tools``.
 
 Exit codes: 0 for an answer, 1 for a failure that a message on standard error names, 2 for wrong usage.
 """
@@ -11,6 +11,7 @@ import sys
 from .plans import reports
 from .plans.answers import BadQuestion
 from .plans.session import LineServer, Session
+from .plans.tools import ToolServer
 from .sources.git import GitError
 
 RENDERED = {"text": ["diff"], "diff": ["diff"], "mermaid": ["mermaid"], "json": []}
@@ -22,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--repository", default=".")
     out.add_argument("--format", choices=["human", "text", "diff", "mermaid", "json"])
     out.add_argument("--jsonl", action="store_true", help="answer one JSON request a line")
+    out.add_argument("--tools", action="store_true", help="serve the questions as tools over JSON-RPC lines")
     for name in ("file", "function", "direction", "relations", "view"):
         out.add_argument(f"--{name}")
     for name in ("depth", "max-nodes", "max-edges"):
@@ -39,8 +41,9 @@ def graph_params(args: argparse.Namespace, form: str) -> dict:
 def run(args: argparse.Namespace, session: Session, lines=None) -> None:
     """Answer what was asked for on the command line."""
     write = sys.stdout.write
-    if args.jsonl:
-        for line in LineServer(session.answer).serve(sys.stdin if lines is None else lines):
+    if args.jsonl or args.tools:
+        server = ToolServer(session.answer, args.repository) if args.tools else LineServer(session.answer)
+        for line in server.serve(sys.stdin if lines is None else lines):
             write(line + "\n")
             sys.stdout.flush()
         return
@@ -60,7 +63,7 @@ def main(arguments: list[str] | None = None, session: Session | None = None) ->
     out = parser()
     args = out.parse_args(arguments)
     graph = args.revisions[:1] == ["graph"]
-    if not args.jsonl and len(args.revisions) != 2 + graph:
+    if not (args.jsonl or args.tools) and len(args.revisions) != 2 + graph:
         out.error("a base and a target revision are required")
     if args.format and args.format not in (("text", "diff", "mermaid", "json") if graph else ("human", "json")):
         out.error(f"--format {args.format} is not one of this command's")
