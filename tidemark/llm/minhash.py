@@ -7,10 +7,15 @@ sets of similarity s share a table with probability
 defaults. Candidates are confirmed on full shingle sets, so no false link
 stays.
 
-Documents with equal sets meet as one representative first. Of the rest, each
-is first compared with the one smaller document that shares most tables with
-it; only pairs of documents that share a table but not yet a component are
-compared then. No group is gathered in one task.
+Documents with equal sets meet as one representative first. Each other one is
+first compared with one centre: of the best connected documents of its tables
+the one that it shares most tables with, which is its family. Tables that then
+hold one component alone are done. The documents of the others are dealt into
+blocks of their family, about ``BLOCK_ITEMS`` shingles each, and a document
+visits another block only if it shares a table with a document there; a task
+counts common shingles of a block and its visitors and emits a spanning forest.
+So no pairs are emitted, tables that merely touch don't add up, and neither a
+block nor its share of visitors outgrows a task.
 
 Null or blank texts have no shingles, link with nothing and are kept, as are
 rows without doc_id. Rows that repeat a doc_id are one node. Words are split at
@@ -29,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, WordHash, durable, mixed, stored
-from .components import components, forest
+from .components import components, forest, with_value
 
 WORDS, PERCENT, BAND, TABLES, SEED = 5, 75, 4, 24, 20240607
-#: Shingles of a block, about, and small areas that share a task.
-BLOCK_ITEMS, AREAS_A_TASK = 1 << 16, 16
+#: Shingles of a block, about, and small blocks that share a task.
+BLOCK_ITEMS, BLOCKS_A_TASK = 1 << 16, 16
 
 _HASH = WordHash()
 _ROLL = Rolling(0x9E3779B97F4A7C15)
@@ -104,36 +109,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     return left.join(text.withColumnsRenamed({"id": "v", "text": "right"}), "v").select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
 
 
-def _roots(parents: DataFrame, most: int = 64) -> DataFrame:
-    """(node, root) of each node of a forest of links (u, v), each u once with one smaller v: pointers jump to their roots."""
-    now = durable(parents.select(F.col("u").alias("node"), F.col("v").alias("root")))
-    for _ in range(most):
-        up = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = durable(now.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-        now = jumped.select("node", "root")
-        if not jumped.filter("moved").limit(1).count():
-            break
-    return now.union(now.select(F.col("root").alias("node"), "root").distinct())
-
-
-def _block_links(percent: int):
-    """Spanning links of the sets in one pair of blocks (side 2: one block with itself)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = []
-        for _, part in pdf.groupby("area", sort=False):
-            left, right = part[part.side != 1], part[part.side != 0]
-            if len(left) and len(right) and (len(left) > 1 or len(right) > 1 or left.rep.iloc[0] != right.rep.iloc[0]):
-                a, b = left.rep.to_numpy(), right.rep.to_numpy()
-                x, y = ([np.frombuffer(v, np.uint64) for v in side["items"]] for side in (left, right))
-                linked = _linked(x, y, percent)
-                ids = np.concatenate([a, b])
-                edges.append(np.stack([ids, ids[forest(linked)]]))
-        found = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), np.int64)
-        found = found[:, found[0] != found[1]]
-        return pd.DataFrame({"u": found[0], "v": found[1]})
-
-    return run
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, c) of the components ``labels`` after ``links`` (u, v) joined some."""
+    for end in ("u", "v"):
+        links = links.join(labels.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    merged = durable(components(links))
+    grown = labels.join(merged.withColumnRenamed("node", "c"), "c", "left").select("node", F.coalesce("component", "c").alias("c"))
+    return grown.union(merged.join(labels, "node", "left_anti").select("node", F.col("component").alias("c")))
 
 
 def _linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
@@ -159,32 +141,66 @@ def _columns(items: np.ndarray, sizes: np.ndarray, shared: np.ndarray):
     return np.repeat(np.arange(len(sizes)), sizes), at, shared[at] == items
 
 
-def _blocked(still: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) that span those between documents of ``still`` (rep, n, least) of one area.
+def _block_links(percent: int):
+    """Spanning links of each block's sets and, for a visit, of the block's with its visitors'."""
 
-    Tables join documents into areas. An area is dealt into blocks of about
-    ``BLOCK_ITEMS`` shingles, a task compares two blocks by counts of common
-    shingles and emits a spanning forest; small areas share tasks.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = [np.zeros((2, 0), np.int64)]
+        for (_, visit), part in pdf.groupby(["block", "visit"], sort=False):
+            ids = [part.rep[part.guest == g].to_numpy() for g in (False, True)]
+            home, guest = ([np.frombuffer(v, np.uint64) for v in part["items"][part.guest == g]] for g in (False, True))
+            if len(home) > 1 and visit == 0:
+                edges.append(np.stack([np.concatenate([ids[0]] * 2), np.concatenate([ids[0]] * 2)[forest(_linked(home, home, percent))]]))
+            if home and guest:
+                both = np.concatenate(ids)
+                edges.append(np.stack([both, both[forest(_linked(home, guest, percent))]]))
+        found = np.unique(np.concatenate(edges, axis=1), axis=1)
+        found = found[:, found[0] != found[1]]
+        return pd.DataFrame({"u": found[0], "v": found[1]})
+
+    return run
+
+
+def _blocked(members: DataFrame, families: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) that span those between documents that share a table.
+
+    ``members`` are (key, rep, n) of the tables, ``families`` (rep, family).
     """
-    areas = components(still.select(F.col("rep").alias("u"), F.col("least").alias("v")))
-    placed = still.select("rep", "n").distinct().join(areas.withColumnRenamed("node", "rep"), "rep").select("rep", "n", F.col("component").alias("area"))
-    sizes = placed.groupBy("area").agg(F.sum("n").alias("items"))
-    blocks = F.ceil(F.col("items") / BLOCK_ITEMS).cast("long")
-    dealt = durable(placed.join(sizes.select("area", blocks.alias("blocks")), "area").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks")))
-    fields = pa.schema([("rep", pa.int64()), ("area", pa.int64()), ("blocks", pa.int64()), ("own", pa.int64()), ("items", pa.binary())])
+    # Families of families, four steps up: what hangs together shares few blocks.
+    for _ in range(2):
+        up = families.select(F.col("rep").alias("family"), F.col("family").alias("above"))
+        families = durable(families.join(up, "family", "left").select("rep", F.coalesce("above", "family").alias("family")))
+    own = durable(members.select("rep", "n").distinct().join(families, "rep", "left").select("rep", "n", F.coalesce("family", "rep").alias("family")))
+    parts = F.ceil(F.sum("n") / BLOCK_ITEMS).cast("long").alias("parts")
+    sized = with_value(own, own.groupBy("family").agg(parts, F.count("*").alias("n")), "family", own.count())
+    placed = durable(sized.select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), "parts")).alias("block"), "n"))
+    there = durable(members.select("key", "rep", "n").join(placed.drop("n"), "rep"))
+    # A table's blocks are a list, as long as its documents' shingles over BLOCK_ITEMS; a document has as many tables as the tensor.
+    blocks = stored(there.groupBy("key").agg(F.collect_set("block").alias("to")))
+    lower = F.array_sort(F.filter("to", lambda x: x < F.col("block")))
+    visits = there.join(blocks, "key").select("rep", "n", lower.alias("to")).groupBy("rep", "n").agg(F.array_distinct(F.flatten(F.collect_set("to"))).alias("to"))
+    visits = durable(visits.select("rep", "n", F.explode("to").alias("block")))
+    # How many lots a block's visitors are dealt into, and whether a block is worth a task of its own.
+    lots = visits.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("long").alias("lots"), F.sum("n").alias("away"), F.count("*").alias("n"))
+    homes = placed.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("items")).join(lots, "block", "left").filter("k > 1 or lots is not null")
+    large = F.col("items") + F.coalesce("away", F.lit(0)) > BLOCK_ITEMS // 4
+    homes = durable(homes.select("block", F.coalesce("lots", F.lit(1)).alias("lots"), large.alias("large"), F.greatest("k", F.coalesce("n", F.lit(0))).alias("n")))
+    tasks = max(64, homes.count() // BLOCKS_A_TASK)
+    at_home = placed.select("rep", "block").join(homes.drop("n"), "block").select("rep", "block", "large", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("visit"), F.lit(False).alias("guest"))
+    away = with_value(visits.select("rep", "block"), homes, "block", visits.count()).select("rep", "block", "large", F.pmod(F.xxhash64("rep", F.lit(5)), "lots").alias("visit"), F.lit(True).alias("guest"))
+    mix = F.xxhash64("block", "visit")
+    task = F.when(F.col("large"), mix).otherwise(F.pmod(mix, F.lit(tasks)))
+    places = at_home.unionByName(away).groupBy("rep").agg(F.collect_list(F.struct(task.alias("task"), "block", "visit", "guest")).alias("places"))
+    fields = pa.schema([("rep", pa.int64()), ("items", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items = [shingles(t, words).tobytes() for t in b.column(4).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(items, pa.binary())], schema=fields)
-
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    full = dealt.join(text, "rep").select("rep", "area", "blocks", "own", "text").mapInArrow(sets, "rep long, area long, blocks long, own long, items binary")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("side")))
-    # One block: the area shares a task with others of its hash, AREAS_A_TASK on average.
-    tasks = max(64, dealt.filter("blocks = 1").select("area").distinct().count() // AREAS_A_TASK)
-    task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("area"), F.lit(tasks)).alias("a"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))).otherwise(F.struct(F.col("area").alias("a"), F.col("p.i").alias("i"), F.col("p.j").alias("j")))
-    spread = full.select("rep", "area", "items", "blocks", F.explode(pairs).alias("p")).select(task.alias("task"), "area", F.col("p.side").alias("side"), "rep", "items")
+            items = pa.array([shingles(t, words).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), items, b.column(2)], schema=fields.append(pa.field("places", b.column(2).type)))
+
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep is not null")
+    full = text.join(places, "rep").select("rep", "text", "places").mapInArrow(sets, "rep long, items binary, places array<struct<task: long, block: long, visit: long, guest: boolean>>")
+    spread = full.select("rep", "items", F.explode("places").alias("p")).select("p.*", "rep", "items")
     return spread.groupBy("task").applyInPandas(_block_links(percent), "u long, v long")
 
 
@@ -200,23 +216,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     both = subs.join(shared, "key").groupBy("rep").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("i") < tables, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("i") >= tables, F.col("key"))).alias("b"))
     tensor = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
     keyed = stored(both.select("rep", "n", F.explode(tensor).alias("key")))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("sets")).filter("sets > 1").select("key", "c")
-    votes = keyed.join(least, "key").filter("rep <> c").groupBy("rep", "c").agg(F.count("*").alias("n"))
-    first = durable(votes.groupBy("rep").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("v")).select(F.col("rep").alias("u"), "v"))
-    links = durable(confirm(first, docs, words, percent))
-    trees = durable(_roots(links))
-    # Documents that share a table across components are compared exactly, in blocks.
-    labelled = keyed.join(trees.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("c"))
-    open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("least")).filter("lo < hi").select("key", "least")
-    still = durable(labelled.join(open_keys, "key").select("rep", "n", "least").distinct())
-    more = _blocked(still, docs, words, percent)
-    # Components of components: only links across trees are left to follow.
-    for end in ("u", "v"):
-        more = more.join(trees.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-    merged = components(more)
-    grouped = trees.join(merged.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("component", "root").alias("component"))
-    alone = merged.join(trees.select("node"), "node", "left_anti")
-    grouped = grouped.union(alone.select("node", "component"))
+    # Written, so that the adaptive plan can split a hot key's side of each join.
+    shared_keys = stored(keyed.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"))
+    shares = stored(keyed.join(shared_keys, "key").select("key", "rep", "n", "sets"))
+    weights = shares.groupBy("rep").agg(F.sum(F.col("sets") - 1).alias("w"))
+    members = stored(shares.join(weights, "rep").select("key", "rep", "n", "w"))
+    # The best connected document of each table, and of those the one that a document shares most tables with.
+    centre = stored(members.groupBy("key").agg((-F.max(F.struct("w", (-F.col("rep")).alias("less")))["less"]).alias("family")))
+    votes = members.join(centre, "key").filter("rep <> family").groupBy("rep", "family").agg(F.count("*").alias("tables"))
+    families = durable(votes.groupBy("rep").agg(F.max_by("family", F.struct("tables", -F.col("family"))).alias("family")))
+    first = confirm(families.select(F.greatest("rep", "family").alias("u"), F.least("rep", "family").alias("v")).distinct(), docs, words, percent)
+    labels = durable(components(first).withColumnRenamed("component", "c"))
+    # Tables of more than one component.
+    own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    open_keys = stored(own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
+    still = stored(own.join(open_keys, "key").select("key", "rep", "n"))
+    more = durable(_blocked(still, families, docs, words, percent))
+    grouped = _relabelled(labels, more).select("node", F.col("c").alias("component"))
     named = reps.select("digest", "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
     return (
         signed.select("doc_id", "n_shingles", "digest")
