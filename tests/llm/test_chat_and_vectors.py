@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from tidemark.llm import chat, embeddings
-from tidemark.llm import components as components_module
 from tidemark.llm.components import components
+from tidemark.operators import components as components_module
 
 TURNS = "conv_id long, turn long, role string, text string"
 

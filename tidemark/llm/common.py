@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,32 +9,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The ASCII white space that separates words.
-SPACE = " \t\n\x0b\f\r"
-
+from ..operators.durable import durable, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster's driver and executors share.
+__all__ = ["SPACE", "Rolling", "WordHash", "durable", "mixed", "shared_dir", "stored", "table", "words_of"]
 
-    A local session that names none, as in tests, gets a folder of its own that
-    goes when the driver ends; on a cluster that is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        at = "file://" + folder
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with files that outlive any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: The ASCII white space that separates words.
+SPACE = " \t\n\x0b\f\r"
 
 
 def stored(df: DataFrame) -> DataFrame:

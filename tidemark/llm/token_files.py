@@ -6,8 +6,8 @@ and exception lists. A block keeps 128 ids as differences from its minimum at
 a width that 90 % of them fit; the others lie in its exception list.
 
 Null texts are empty documents. Null doc_ids sort first. Rows that share a
-doc_id stay separate documents in the order of their texts. An empty table
-gives an empty file set.
+doc_id stay separate documents in the order of their texts. Further columns
+are left out. An empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -147,7 +147,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _SEGMENT).write.option("compression", "none").parquet(path)
+    # Rows that share an id, or have none, are dealt by the head of their text, which agrees with the order by text.
+    rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text").mapInArrow(run, _SEGMENT).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -19,6 +19,8 @@ _LOADED: dict[str, "Encoder"] = {}
 
 _SPACED = re.compile(r"\s ")
 _ODD = "\x1c\x1d\x1e\x1f\x85"
+#: Longest part that is remembered; its ids take four bytes for each byte of text at most.
+MEMO_CHARS = 48
 
 
 def encoder(path: str) -> "Encoder":
@@ -30,8 +32,10 @@ def encoder(path: str) -> "Encoder":
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    ``limit`` bounds the memo: beyond it the entries of the last generation
-    stay for one more, and the ones before them go.
+    Only parts of up to ``MEMO_CHARS`` characters are remembered, so ``limit``
+    entries bound the memo's bytes too: beyond it the entries of the last
+    generation stay for one more, and the ones before them go. Longer parts
+    (unspaced scripts, whole texts of one word) are encoded where they stand.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
@@ -104,7 +108,7 @@ class Encoder:
                 memo.update((w, self._single(prefix + w)) for w in group)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > self.limit:
+        if len(self.memo) + len(self.heads) > self.limit:
             self.older, self.memo, self.heads = self.memo, {}, {}
         split, missing = [], set()
         for text in texts:
@@ -118,18 +122,29 @@ class Encoder:
                 parts = text.split()
                 missing.update(set(parts).difference(self.memo))
             split.append(parts)
-        self._learn(missing)
-        look, out = self.memo.__getitem__, []
+        long = {w for w in missing if len(w) > MEMO_CHARS}
+        self._learn(missing - long)
+        prefix = " " if self.mode == "space" else ""
+        out = []
         for text, parts in zip(texts, split):
             if parts is None:
                 out.append(self._single(text))
             elif not parts:
                 out.append(b"")
             elif self.mode == "word":
-                out.append(b"".join(map(look, parts)))
+                out.append(self._look(parts, long, prefix))
             else:
-                head = self.heads.get(parts[0])
-                if head is None:
-                    head = self.heads[parts[0]] = self._single(parts[0])
-                out.append(head + b"".join(map(look, parts[1:])))
+                out.append(self._head(parts[0]) + self._look(parts[1:], long, prefix))
         return out
+
+    def _look(self, parts: list[str], long: set[str], prefix: str) -> bytes:
+        if long and not long.isdisjoint(parts):
+            return b"".join([self._single(prefix + w) if w in long else self.memo[w] for w in parts])
+        return b"".join(map(self.memo.__getitem__, parts))
+
+    def _head(self, part: str) -> bytes:
+        if len(part) > MEMO_CHARS:
+            return self._single(part)
+        if part not in self.heads:
+            self.heads[part] = self._single(part)
+        return self.heads[part]
