@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_text_operators import SCHEMA, brute_near, brute_quality, brute_repeats, whole_ids, words
 from tidemark.llm import chat, language, licenses, minhash, mixing, packing, quality, substring, token_files
-from tidemark.llm.common import shared_dir
 from tidemark.llm.tokenize import MEMO_CHARS, Encoder
 
 SF = "/root/testdata/sf0.01"
@@ -83,15 +82,15 @@ def test_encoder_remembers_short_parts_only(path):
     assert max(map(len, held)) <= MEMO_CHARS and len(held) <= 2 * (1000 + 300)
 
 
-def test_token_files_odd_tables(spark):
+def test_token_files_odd_tables(spark, tmp_path):
     """Nothing; then a very long text, repeated and missing ids and clashing columns."""
-    path = f"{shared_dir(spark)}/none"
+    path = f"file://{tmp_path}/none"
     token_files.write_token_files(spark.createDataFrame([], SCHEMA), path, BYTES)
     assert token_files.read_token_files(spark, path).count() == 0
     rng = random.Random(2)
     rows = [(None, f"no id {i % 7} é") for i in range(60)] + [(5, "same")] * 40 + [(9, " ".join(words(rng, 60_000))), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as shard")
-    path = f"{shared_dir(spark)}/odd"
+    path = f"file://{tmp_path}/odd"
     token_files.write_token_files(docs.repartition(5), path, BYTES)
     got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
     at = 0

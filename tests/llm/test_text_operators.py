@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import language, licenses, minhash, mixing, packing, quality, substring, token_files
-from tidemark.llm.common import shared_dir
 from tidemark.llm.tokenize import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,8 +101,8 @@ def test_packer_is_exact_for_random_lengths():
             assert sum(x[1] for x in seen[i]) == n and [x[0] for x in sorted(seen[i])] == list(np.cumsum([0] + [x[1] for x in sorted(seen[i])])[:-1])
 
 
-def test_token_files_round_trip(spark, docs, corpus):
-    path = f"{shared_dir(spark)}/files"
+def test_token_files_round_trip(spark, docs, corpus, tmp_path):
+    path = f"file://{tmp_path}/files"
     token_files.write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), segment_tokens=500)
     got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
     expected = sorted(((i, t or "") for i, t, *_ in corpus), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
