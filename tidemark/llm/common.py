@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable, shared_dir
 
-__all__ = ["SPACE", "Rolling", "WordHash", "durable", "mixed", "shared_dir", "stored", "table", "words_of"]
+__all__ = ["SPACE", "Rolling", "WordHash", "durable", "mixed", "shared_dir", "slices", "stored", "table", "words_of"]
 
 #: The ASCII white space that separates words.
 SPACE = " \t\n\x0b\f\r"
@@ -29,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches a few rows at a time, so that a worker holds few texts twice; what they took is given back at the end."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null and blank give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHash, durable, mixed, stored
+from .common import Rolling, WordHash, durable, mixed, slices, stored
 from .components import components, forest, with_value
 
 WORDS, PERCENT, BAND, TABLES, SEED = 5, 75, 4, 24, 20240607
@@ -62,7 +62,7 @@ def sign(docs: DataFrame, words: int = WORDS, band: int = BAND, tables: int = TA
     fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sizes, digests, keys = [], [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(text, words)
@@ -90,7 +90,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     """The pairs (u, v) of documents whose full sets have ``100 * common >= percent * union``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             held: dict[int, np.ndarray] = {}
             good = []
             for v, left, right in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()):
@@ -194,7 +194,7 @@ def _blocked(members: DataFrame, families: DataFrame, docs: DataFrame, words: in
     fields = pa.schema([("rep", pa.int64()), ("items", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             items = pa.array([shingles(t, words).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), items, b.column(2)], schema=fields.append(pa.field("places", b.column(2).type)))
 

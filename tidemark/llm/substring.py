@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHash, durable, mixed, stored
+from .common import Rolling, WordHash, mixed, slices, stored
 
 WINDOW, MINIMIZER = 50, 16
 
@@ -60,7 +60,7 @@ def paths(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for b in batches:
+        for b in slices(batches):
             for doc_id, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 h, p1, p2 = _digests(text)
                 if len(h) < window:
@@ -91,7 +91,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for b in batches:
+        for b in slices(batches):
             for doc_id, key, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
                 _, p1, p2 = _digests(text)
                 at = np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in spans])
@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIM
     """doc_id, n_words, n_removed and text (kept words joined by one space), one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [_cut(t, x) for t, x in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())],
@@ -183,7 +183,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINI
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [_cut(t, x)[2] for t, x in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()).cast(pa.string())], names=["row", "cut"])
 
