@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import compare, edges, graph, ranking
 from ..operators import impact as ops
-from ..operators.durable import durable
+from ..operators.durable import durable, shared_dir
 from . import analysis, answers, inputs, render
 from .oracles import sql
 from .queries import _GRAPH, _graph, _trees, query
@@ -414,15 +414,19 @@ def render_mermaid(spark, sf_dir):
 
 
 def _generated(spark, sf_dir) -> tuple[str, str, str]:
-    """A repository made of the regions' nations: a module each, changed in its second commit."""
+    """A repository made of the nations: a module each, changed in its second commit; in the shared folder, as tasks read it."""
     import atexit
     import shutil
     import subprocess
-    import tempfile
+    import uuid
     from pathlib import Path
 
+    at = shared_dir(spark).removeprefix("file://")
+    if "://" in at:
+        raise ValueError("Git needs a shared folder that is mounted")
     rows = inputs.read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    root = Path(tempfile.mkdtemp(prefix="tidemark-repository-"))
+    root = Path(at) / f"repository-{uuid.uuid4().hex}"
+    root.mkdir(parents=True)
     atexit.register(shutil.rmtree, root, ignore_errors=True)
     run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True).stdout.decode().strip()
     run("init", "-q")
